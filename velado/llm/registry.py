@@ -2,6 +2,7 @@
 
 from .exact_dedup import ORACLE as SQL7
 from .exact_dedup import op7_exact_dedup
+from .token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op7_exact_dedup)}
 SQL = {"op7_exact_dedup": SQL7}
