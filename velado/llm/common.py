@@ -72,9 +72,12 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.A
 
 
 class Words(dict):
-    """Distinct words -> dense numbers. New words wait in `fresh`; `reset` empties a table that has grown too large."""
+    """Distinct words -> dense numbers. New words wait in `fresh`.
 
-    def __init__(self, limit: int = 300_000):
+    `trim`, between blocks, forgets the later half of a table that has grown too large: frequent words come early.
+    """
+
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit, self.fresh = limit, []
 
@@ -90,12 +93,13 @@ class Words(dict):
         fresh, self.fresh = self.fresh, []
         return fresh
 
-    def full(self) -> bool:
-        return len(self) > self.limit
-
-    def reset(self) -> None:
-        self.clear()
-        self.fresh = []
+    def trim(self) -> int | None:
+        """How many words are left if it forgot any."""
+        if len(self) <= self.limit:
+            return None
+        for _ in range(len(self) - self.limit // 2):
+            self.popitem()
+        return len(self)
 
 
 class Ragged:
@@ -115,6 +119,10 @@ class Ragged:
         self.values = np.concatenate((self.values, flat))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(n)))
 
+    def trim(self, n: int) -> None:
+        self.ends = self.ends[: n + 1].copy()
+        self.values = self.values[: self.ends[-1]].copy()
+
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the lists of these numbers, concatenated; the length of each)."""
         start, n = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]

@@ -35,6 +35,7 @@ from .common import Ragged, Words, blocks, by_doc, id_text, scratch
 
 MAGIC = b"VLDTOK01"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_EVEN = re.compile(r"\S+(?:\n\S+)*")
 
 
 class EliasFano:
@@ -95,26 +96,44 @@ class EliasFano:
 class WordEncoder:
     """Ids of whole texts, each distinct part encoded once while it is in the table."""
 
+    LOT = 500
+
     def __init__(self, tokenizer, dtype):
-        self.tokenizer, self.words, self.dtype = tokenizer, Words(), dtype
-        self._clear()
+        self.tokenizer, self.words = tokenizer, Words()
+        self.ids, self.open = Ragged(dtype), np.zeros(0, np.uint8)
+        self.newline = self._encode(["\n"])[0][0]
 
-    def _clear(self) -> None:
-        self.words.reset()
-        self.ids, self.open = Ragged(self.dtype), np.zeros(0, np.uint8)
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        if fresh := self.words.take():
-            texts = [w[0] if isinstance(w, tuple) else f" {w}" for w in fresh]
-            self.ids.append([x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
-            plain = [w[0] if isinstance(w, tuple) else w for w in fresh]
-            # 1: white space first, 2: white space last, 3: both, or nothing at all.
-            self.open = np.append(self.open, np.fromiter((w[0].isspace() | w[-1].isspace() << 1 if w else 3 for w in plain), np.uint8, len(plain)))
+        """Plain parts are encoded in lots with a line end between them, always a pre-token of its own there."""
+        fresh = self.words.take()
+        if not fresh:
+            return
+        plain = [w[0] if isinstance(w, tuple) else w for w in fresh]
+        # 1: white space first, 2: white space last, 3: both, or nothing at all.
+        self.open = np.append(self.open, np.fromiter((w[0].isspace() | w[-1].isspace() << 1 if w else 3 for w in plain), np.uint8, len(plain)))
+        found: list = [None] * len(fresh)
+        even = [k for k, w in enumerate(fresh) if not isinstance(w, tuple) and _EVEN.fullmatch(w)]
+        lots = [even[i : i + self.LOT] for i in range(0, len(even), self.LOT)]
+        for lot, ids in zip(lots, self._encode(["\n".join(f" {fresh[k]}" for k in lot) for lot in lots]), strict=True):
+            ends = [i for i, x in enumerate(ids) if x == self.newline] + [len(ids)]
+            start = at = 0
+            for k in lot:
+                at += fresh[k].count("\n")
+                found[k] = ids[start : ends[at]]
+                start, at = ends[at] + 1, at + 1
+        odd = [k for k, x in enumerate(found) if x is None]
+        for k, ids in zip(odd, self._encode([fresh[k][0] if isinstance(fresh[k], tuple) else f" {fresh[k]}" for k in odd]), strict=True):
+            found[k] = ids
+        self.ids.append(found)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if self.words.full():
-            self._clear()
+        if left := self.words.trim():
+            self.ids.trim(left)
+            self.open = self.open[:left].copy()
         parts = []
         for text in texts:
             head, *rest = text.split(" ")
