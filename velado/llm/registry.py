@@ -1,8 +1,12 @@
 """The queries of the corpus operators, and SQL where it can express them."""
 
+from .decontaminate import op6_decontamination
 from .exact_dedup import ORACLE as SQL7
 from .exact_dedup import op7_exact_dedup
+from .language import op4_language
+from .quality import op10_quality
 from .token_files import op1_token_files
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_language, op6_decontamination, op7_exact_dedup, op8_toxicity, op10_quality)}
 SQL = {"op7_exact_dedup": SQL7}
