@@ -163,6 +163,12 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, kind: str) -> WordEncoder:
+    """One a worker process, so that a later task finds frequent words already encoded."""
+    return WordEncoder(_tokenizer(path), np.dtype(kind))
+
+
 def encode_texts(raws: list[bytes], encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids with the end id after each text, lengths with it)."""
     ids, n = encoder.encode([raw.decode("utf-8", "replace") for raw in raws])
@@ -227,7 +233,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, roll = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(_tokenizer(tokenizer_path), dtype)
+        encoder = _encoder(tokenizer_path, dtype.str)
         names: list[int | None] = []
         held: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
