@@ -25,8 +25,14 @@ from .features import Featurizer, bucket, in_fold, sample, terms
 BITS = 20
 
 
+def hashed(term: bytes) -> list[int]:
+    """The term, and its first three to six letters, which inflected forms share."""
+    w = term.decode("utf-8", "replace")
+    return [bucket(b"t" + term, BITS), *(bucket(f"{k}{w[:k]}".encode(), BITS) for k in (3, 4, 5, 6) if len(w) >= k)]
+
+
 def term_features() -> Featurizer:
-    return Featurizer(terms, lambda w: [bucket(w, BITS)])
+    return Featurizer(terms, hashed)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -34,7 +40,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class FactorizationMachine:
-    def __init__(self, rank: int = 4, rounds: int = 12, rate: float = 0.15, l1: float = 2e-4, min_docs: int = 5, seed: int = 7):
+    def __init__(self, rank: int = 4, rounds: int = 20, rate: float = 0.05, l1: float = 3e-3, min_docs: int = 5, seed: int = 7):
         self.rank, self.rounds, self.rate, self.l1, self.min_docs, self.seed = rank, rounds, rate, l1, min_docs, seed
         #: features with weights, sorted; row k of weights holds w and v of feature k - 1, row 0 is that of all others.
         self.known, self.weights, self.bias, self.share = np.empty(0, np.int64), np.zeros((1, 1 + rank), np.float32), -30.0, 0.0
@@ -62,7 +68,11 @@ class FactorizationMachine:
         doc = np.repeat(np.arange(len(y)), lengths)
         doc, rows = doc[rows > 0], rows[rows > 0]
         ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(y))))
-        for _ in range(self.rounds):
+        for turn in range(self.rounds):
+            if turn in (3, 8):  # what the proximal step holds at zero is left out of the later rounds
+                live = (w[rows] != 0).any(1)
+                doc, rows = doc[live], rows[live]
+                ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(y))))
             for lot in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
                 n = ends[lot + 1] - ends[lot]
                 at = np.repeat(ends[lot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
