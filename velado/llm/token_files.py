@@ -103,31 +103,38 @@ class WordEncoder:
         self.ids, self.open = Ragged(dtype), np.zeros(0, np.uint8)
         self.newline = self._encode(["\n"])[0][0]
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.ids.values.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
         """Plain parts are encoded in lots with a line end between them, always a pre-token of its own there."""
         fresh = self.words.take()
-        if not fresh:
-            return
-        plain = [w[0] if isinstance(w, tuple) else w for w in fresh]
-        # 1: white space first, 2: white space last, 3: both, or nothing at all.
-        self.open = np.append(self.open, np.fromiter((w[0].isspace() | w[-1].isspace() << 1 if w else 3 for w in plain), np.uint8, len(plain)))
-        found: list = [None] * len(fresh)
-        even = [k for k, w in enumerate(fresh) if not isinstance(w, tuple) and _EVEN.fullmatch(w)]
+        plain = [type(w) is str and _EVEN.fullmatch(w) is not None for w in fresh]
+        even, odd = [w for w, p in zip(fresh, plain, strict=True) if p], [w for w, p in zip(fresh, plain, strict=True) if not p]
         lots = [even[i : i + self.LOT] for i in range(0, len(even), self.LOT)]
-        for lot, ids in zip(lots, self._encode(["\n".join(f" {fresh[k]}" for k in lot) for lot in lots]), strict=True):
-            ends = [i for i, x in enumerate(ids) if x == self.newline] + [len(ids)]
-            start = at = 0
-            for k in lot:
-                at += fresh[k].count("\n")
-                found[k] = ids[start : ends[at]]
-                start, at = ends[at] + 1, at + 1
-        odd = [k for k, x in enumerate(found) if x is None]
-        for k, ids in zip(odd, self._encode([fresh[k][0] if isinstance(fresh[k], tuple) else f" {fresh[k]}" for k in odd]), strict=True):
-            found[k] = ids
-        self.ids.append(found)
+        flat, n = [], []
+        for lot, ids in zip(lots, self._encode([" " + "\n ".join(lot) for lot in lots]), strict=True):
+            # The line ends that part the words, not those inside them.
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            if len(ends) > len(lot):
+                ends = ends[np.cumsum(np.fromiter((1 + w.count("\n") for w in lot), np.int64, len(lot))) - 1]
+            flat.append(np.delete(ids, ends[:-1]))
+            n.append(np.diff(ends, prepend=-1) - 1)
+        for ids in self._encode([w[0] if type(w) is tuple else f" {w}" for w in odd]):
+            flat.append(ids)
+            n.append(np.array([len(ids)]))
+        if fresh:
+            found = Ragged(self.ids.values.dtype)
+            found.extend(np.concatenate(flat), np.concatenate(n))
+            # 1: white space first, 2: white space last, 3: both, or nothing at all.
+            bare = [w[0] if type(w) is tuple else w for w in odd]
+            state = np.zeros(len(fresh), np.uint8)
+            state[len(even) :] = np.fromiter((w[0].isspace() | w[-1].isspace() << 1 if w else 3 for w in bare), np.uint8, len(bare))
+            # Back into the order in which the words were met.
+            at, plain = np.empty(len(fresh), np.int64), np.array(plain)
+            at[plain], at[~plain] = np.arange(len(even)), np.arange(len(even), len(fresh))
+            self.open = np.append(self.open, state[at])
+            self.ids.extend(*found.gather(at))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -136,8 +143,9 @@ class WordEncoder:
             self.open = self.open[:left].copy()
         parts = []
         for text in texts:
-            head, *rest = text.split(" ")
-            parts.append(self.words.numbers([(head,), *rest]))
+            words = text.split(" ")
+            words[0] = (words[0],)
+            parts.append(self.words.numbers(words))
         self._learn()
         for k, numbers in enumerate(parts):
             state = self.open[numbers]
@@ -160,6 +168,7 @@ def _tokenizer(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    t.model._resize_cache(0)  # words come once, so its own cache only costs time
     return t
 
 
