@@ -5,9 +5,10 @@ from .exact_dedup import ORACLE as SQL7
 from .exact_dedup import op7_exact_dedup
 from .language import op4_language
 from .near_dedup import op3_near_dedup
+from .pieces import op2_sentencepiece
 from .quality import op10_quality
 from .token_files import op1_token_files
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_near_dedup, op4_language, op6_decontamination, op7_exact_dedup, op8_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op3_near_dedup, op4_language, op6_decontamination, op7_exact_dedup, op8_toxicity, op10_quality)}
 SQL = {"op7_exact_dedup": SQL7}
