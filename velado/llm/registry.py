@@ -9,8 +9,9 @@ from .lm_score import op5_lm_score
 from .near_dedup import op3_near_dedup
 from .pieces import op2_sentencepiece
 from .quality import op10_quality
+from .substring_dedup import op9_substring_dedup
 from .token_files import op1_token_files
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op3_near_dedup, op4_language, op5_lm_score, op6_decontamination, op7_exact_dedup, op8_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_sentencepiece, op3_near_dedup, op4_language, op5_lm_score, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_substring_dedup, op10_quality)}
 SQL = {"op5_lm_score": SQL5, "op7_exact_dedup": SQL7}
