@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -190,3 +191,63 @@ def unpack_page(page: bytes) -> np.ndarray:
     low = np.zeros((n, 8), np.uint8)
     low[:, :6] = np.frombuffer(page, np.uint8, 6 * n, 32 + runs.nbytes).reshape(n, 6)
     return low.view("<u8").reshape(-1) | (high << U64(48))
+
+
+# A filter of fixed size over 64-bit ids ----------------------------------------------------------------------------
+
+
+class IdFilter:
+    """A Bloom filter of `bits` bits (4 MB unless said otherwise) over any number of ids: it may say yes too often, never
+    no too often, so it only decides which rows need a join. Tasks fold their ids into slices; the slices, and nothing that
+    grows with the ids, come to the driver."""
+
+    SLICES, PROBES = 64, 3
+
+    def __init__(self, ids: DataFrame, bits: int = 1 << 25):
+        """ids: one column of longs."""
+        each = bits // self.SLICES
+        name = ids.columns[0]
+
+        def fold(table: pa.Table) -> pa.Table:
+            found = np.zeros(each, bool)
+            found[self.places(mixed(table["id"].to_numpy().view(U64)), each).reshape(-1)] = True
+            return pa.table({"slice": table["slice"].slice(0, 1), "bits": [np.packbits(found, bitorder="little").tobytes()]})
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array((mixed(x.view(U64)) % U64(self.SLICES)).astype(np.int32))], names=["id", "slice"])
+
+        self.slices = np.zeros((self.SLICES, each // 8), np.uint8)
+        placed = ids.filter(F.col(name).isNotNull()).select(F.col(name).alias("id")).mapInArrow(place, "id long, slice int").distinct()
+        for row in placed.groupBy("slice").applyInArrow(fold, "slice int, bits binary").collect():
+            self.slices[row.slice] = np.frombuffer(bytes(row.bits), np.uint8)
+
+    def places(self, x: np.ndarray, each: int) -> np.ndarray:
+        a, b = x >> U64(6), mixed(x ^ U64(0x5851F42D4C957F2D)) | U64(1)
+        return np.stack([(a + U64(i) * b) % U64(each) for i in range(self.PROBES)]).astype(np.int64)
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        x = mixed(ids.astype(np.int64).view(U64))
+        at = self.places(x, self.slices.shape[1] * 8)
+        own = (x % U64(self.SLICES)).astype(np.int64)
+        return ((self.slices[own, at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+    def column(self, col):
+        """A boolean column: whether a long column's value may be among the ids (false for null)."""
+
+        @F.pandas_udf("boolean")
+        def maybe_among(x: pd.Series) -> pd.Series:
+            return pd.Series(self.maybe(x.fillna(0).to_numpy(np.int64)) & x.notna().to_numpy())
+
+        return maybe_among(col)
+
+
+def without(docs: DataFrame, losers: DataFrame, id_col: str) -> DataFrame:
+    """docs less the rows whose id is among the losers (one column of longs). Only rows that may be meet the join."""
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    key = own[f"c{docs.columns.index(id_col)}"].cast("long")
+    lost = losers.select(F.col(losers.columns[0]).alias("loser")).distinct()
+    flagged = own.withColumn("maybe", IdFilter(lost).column(key))
+    doubt = flagged.filter("maybe").join(lost, key == F.col("loser"), "left_anti")
+    return flagged.filter("not maybe").unionByName(doubt).drop("maybe").toDF(*docs.columns)

@@ -161,23 +161,29 @@ class LsmIndex:
         return slices
 
 
+def _maybe(digests: list[bytes], slices: list[bytes]) -> np.ndarray:
+    """Which digests the filter holds, maybe."""
+    buckets = len(slices)
+    d = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 4).astype(U64)
+    maybe = np.zeros(len(d), bool)
+    of = (d[:, 0] >> U64(32)).astype(np.int64) * buckets >> 32
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(ends)):
+        if slices[b]:
+            rows = order[ends[b] : ends[b + 1]]
+            maybe[rows] = maybe_in(d[rows], slices[b])
+    return maybe
+
+
 def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes], digest_size: int = 32, texts: bool = False) -> DataFrame:
     """(id, n_chars, digest, maybe_hit): and, if asked for, the normalised text of possible hits."""
-    buckets = len(slices)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column(1).to_pylist()
             found = [digest_of(raw, digest_size) for raw in raws]
-            d = np.frombuffer(b"".join(found), ">u8").reshape(-1, 4).astype(U64)
-            maybe = np.zeros(len(d), bool)
-            of = (d[:, 0] >> U64(32)).astype(np.int64) * buckets >> 32
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(ends)):
-                if slices[b]:
-                    rows = order[ends[b] : ends[b + 1]]
-                    maybe[rows] = maybe_in(d[rows], slices[b])
+            maybe = _maybe(found, slices)
             columns = [batch.column(0), pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(found, pa.binary()), pa.array(maybe)]
             names = ["id", "n_chars", "digest", "maybe_hit"]
             if texts:
@@ -188,11 +194,9 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes]
     return id_text(docs, id_col, text_col).mapInArrow(digests, "id long, n_chars long, digest binary, maybe_hit boolean" + ", norm binary" * texts)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 256, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
-    """A row for each row of docs: id, n_chars, digest, keep_id, group_size, kept.
-
-    Rows of large groups are salted by id before they meet their group's one entry.
-    """
+def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int, memtable_rows: int, digest_size: int, salts: int) -> tuple[DataFrame, list[bytes]]:
+    """What the index says of digests with several rows, each verified: (digest, full, keep_id, keep_chars, group_size,
+    salt), a row for each salt; and the filter of these digests. `full` is set where the digest alone does not tell."""
     index = LsmIndex(docs.sparkSession, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size).add(docs, id_col, text_col).compact()
     slices = index.hit_filter()
     # Byte verification: the distinct texts of each hit; copies collapse before the shuffle.
@@ -201,23 +205,56 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
     clashing = distinct.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
     by_text = distinct.join(clashing, "digest", "left_semi").select("digest", F.sha2("norm", 256).alias("full"), F.col("best.id").alias("keep_id"), (-F.col("best.minus")).alias("keep_chars"), F.col("size").alias("group_size"))
     by_digest = index.hits().join(clashing, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("full"), "keep_id", "keep_chars", "group_size")
-    of_group = by_digest.unionByName(by_text).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = with_digest(docs, id_col, text_col, slices, 32).withColumn("full", F.lower(F.hex("digest")))
+    return by_digest.unionByName(by_text).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), slices
+
+
+def _decided(rows: DataFrame, groups_: DataFrame, digest_size: int, salts: int, carried: list[str]) -> DataFrame:
+    """rows (id, n_chars, digest, and carried columns) with full, keep_id, keep_chars, group_size and kept.
+
+    Rows of large groups are salted by id before they meet their group's one entry.
+    """
     key = F.col("digest") if digest_size == 32 else F.rpad(F.substring("digest", 1, digest_size), 32, F.lit(b"\0"))
-    rows = rows.withColumn("key", key).withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
-    g = of_group.withColumnRenamed("full", "g_full")
-    joined = rows.join(g, (rows.key == g.digest) & (rows.salt == g.salt) & (g.g_full.isNull() | (g.g_full == rows.full)), "left").select(rows.id, rows.n_chars, rows.key, rows.salt, rows.digest, "full", "keep_id", "keep_chars", "group_size")
+    rows = rows.withColumn("full", F.lower(F.hex("digest"))).withColumn("key", key).withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
+    g = groups_.withColumnRenamed("full", "g_full").withColumnRenamed("salt", "g_salt").withColumnRenamed("digest", "g_digest")
+    joined = rows.join(g, (F.col("key") == F.col("g_digest")) & (F.col("salt") == F.col("g_salt")) & (F.col("g_full").isNull() | (F.col("g_full") == F.col("full"))), "left")
     best = (F.coalesce("id", F.lit(NO_ID)) == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     # Rows that share id, text and length are one row repeated: the first of them stays.
     nth = F.row_number().over(Window.partitionBy("key", "salt", "id", "full", "n_chars").orderBy("key"))
     return joined.select(
-        "id", "n_chars", F.col("full").alias("text_sha256"),
+        "id", "n_chars", "full", *carried,
         F.when(F.col("keep_id").isNull(), F.col("id")).when(F.col("keep_id") != NO_ID, F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("keep_id").isNull(), True).otherwise(best & (nth == 1)).alias("kept"),
     )
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 256, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
+    """A row for each row of docs: id, n_chars, text_sha256, keep_id, group_size, kept."""
+    of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size, salts=salts)
+    rows = with_digest(docs, id_col, text_col, slices).select("id", "n_chars", "digest")
+    return _decided(rows, of_group, digest_size, salts, []).withColumnRenamed("full", "text_sha256")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 256, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
+    """The rows of docs that stay, with all their columns; only possible hits are shuffled."""
+    of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size, salts=salts)
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    columns = own.columns
+    schema = own.schema.add("id", "long").add("n_chars", "long").add("digest", "binary").add("maybe_hit", "boolean")
+    raw = F.coalesce(own[f"c{docs.columns.index(text_col)}"].cast("string").cast("binary"), F.lit(b""))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(batch.num_columns - 1).to_pylist()
+            found = [digest_of(raw) for raw in raws]
+            short = [d[:digest_size].ljust(32, b"\0") for d in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(found, pa.binary()), pa.array(_maybe(short, slices))], names=[x.name for x in schema])
+
+    marked = own.withColumn("id", own[f"c{docs.columns.index(id_col)}"].cast("long")).withColumn("raw", raw).mapInArrow(mark, schema)
+    doubt = _decided(marked.filter("maybe_hit"), of_group, digest_size, salts, columns).filter("kept").select(columns)
+    return marked.filter("not maybe_hit").select(columns).unionByName(doubt).toDF(*docs.columns)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return groups(docs).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256", "n_chars")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, id_text, mixed, spans, written
+from .common import U64, Words, blocks, id_text, mixed, spans, without, written
 from .decontaminate import hashes
 from .features import terms
 
@@ -315,6 +315,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of_node, ["node", "salt"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "node")
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """docs with one row of each class, the one with the smallest id; all columns. A row without an id always stays."""
+    found = written(classes(docs, id_col=id_col, text_col=text_col, least=least), "classes")
+    kept = without(docs, found.filter("id != class_id").select("id"), id_col)
+    again = written(found.filter("id = class_id").groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    if again.isEmpty():
+        return kept
+    # Rows that repeat a class's smallest id: one of them stays.
+    return without(kept, again, id_col).unionByName(kept.join(again.select(F.col("id").alias("repeated_id")), kept[id_col].cast("long") == F.col("repeated_id"), "left_semi").dropDuplicates([id_col]))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classes(docs).select(F.col("id").alias("doc_id"), "class_id", F.expr("id <=> class_id").alias("kept"))
