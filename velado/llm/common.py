@@ -90,6 +90,11 @@ class Words(dict):
     def numbers(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def numbers_of(self, words: pa.Array) -> np.ndarray:
+        """The same of an Arrow array: only its distinct words become Python objects."""
+        found = words.dictionary_encode()
+        return self.numbers(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+
     def take(self) -> list:
         fresh, self.fresh = self.fresh, []
         return fresh

@@ -92,6 +92,7 @@ class LsmIndex:
         self.spark, self.path = spark, path or scratch(spark, "lsm")
         self.buckets, self.memtable_rows, self.digest_size = buckets, memtable_rows, digest_size
         self.runs: list[str] = []
+        self.flushed = 0
         self.merged: str | None = None
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LsmIndex:
@@ -112,7 +113,8 @@ class LsmIndex:
             if memtable:
                 yield _flush(memtable, buckets)
 
-        path = f"{self.path}/level0-{len(self.runs)}"
+        self.flushed += 1
+        path = f"{self.path}/level0-{self.flushed}"
         id_text(docs, id_col, text_col).mapInArrow(flush_runs, PAGE).write.parquet(path)
         self.runs.append(path)
         return self
@@ -125,7 +127,7 @@ class LsmIndex:
             found = _merged(col("digests", ">u8").reshape(-1, 4).astype(U64), col("chars", "<i8"), col("ids", "<i8"), col("counts", "<i8"))
             return pa.Table.from_pylist([_page(table["bucket"][0].as_py(), *found)], schema=_ARROW_PAGE)
 
-        path = f"{self.path}/level1-{len(self.runs)}"
+        path = f"{self.path}/level1-{self.flushed}"
         pages = self.spark.read.schema(PAGE).parquet(*self.runs, *([self.merged] if self.merged else []))
         pages.groupBy("bucket").applyInArrow(merge, PAGE).write.parquet(path)
         self.runs, self.merged = [], path

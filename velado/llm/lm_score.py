@@ -86,7 +86,7 @@ def log_scores(totals: np.ndarray, back: np.ndarray, grams: np.ndarray, nothing:
     return out
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4_000_000, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, buckets: int | None = None) -> DataFrame:
     """(id, n_words, log_score) of each row of docs under the counts of `corpus` (docs itself, if not given)."""
     buckets = buckets or buckets_for(docs if corpus is None else corpus)
     how = {"id_col": id_col, "text_col": text_col, "block_bytes": block_bytes}

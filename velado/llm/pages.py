@@ -86,14 +86,14 @@ def answered(asked: DataFrame, folder: str) -> str:
         del pages
         counts = np.concatenate([unpack_counts(c) for c in table["counts"].to_pylist()])
         totals = np.bincount(back, counts, len(names)).astype(np.int64)[back]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array([pack_counts(totals[i:j]) for i, j in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary())})
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array([zlib.compress(pack_counts(totals[i:j]), 1) for i, j in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary())})
 
     system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
     system.create_dir(path, recursive=True)
 
     def deliver(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        totals = np.concatenate([unpack_counts(x) for x in table.sort_by("bucket")["totals"].to_pylist()])
+        totals = np.concatenate([unpack_counts(zlib.decompress(x)) for x in table.sort_by("bucket")["totals"].to_pylist()])
         store, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         tmp = f"{at}/{block}.{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(tmp) as out:

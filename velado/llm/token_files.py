@@ -99,7 +99,7 @@ class WordEncoder:
     LOT = 500
 
     def __init__(self, tokenizer, dtype):
-        self.tokenizer, self.words = tokenizer, Words()
+        self.tokenizer, self.words = tokenizer, Words(600_000)
         self.ids, self.open = Ragged(dtype), np.zeros(0, np.uint8)
         self.newline = self._encode(["\n"])[0][0]
 
@@ -141,22 +141,27 @@ class WordEncoder:
         if left := self.words.trim():
             self.ids.trim(left)
             self.open = self.open[:left].copy()
-        parts = []
-        for text in texts:
-            words = text.split(" ")
-            words[0] = (words[0],)
-            parts.append(self.words.numbers(words))
+        lists = pa.compute.split_pattern(pa.array(texts, pa.string()), " ")
+        flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers, heads = self.words.numbers_of(flat), np.cumsum(n) - n
+        numbers[heads] = self.words.numbers([(w,) for w in flat.take(pa.array(heads)).to_pylist()])
         self._learn()
-        for k, numbers in enumerate(parts):
-            state = self.open[numbers]
-            # White space beside a cut: the cut may be inside a pre-token, so only the safe cuts are made.
-            if len(numbers) > 1 and ((state[:-1] & 2).any() or (state[1:] & 1).any()):
+        # White space beside a cut: the cut may be inside a pre-token, so in such texts only the safe cuts are made.
+        state = self.open[numbers]
+        unsafe = np.zeros(len(numbers), bool)
+        unsafe[1:] = ((state[:-1] & 2) | (state[1:] & 1)) > 0
+        unsafe[heads] = False
+        odd = np.flatnonzero(by_doc(unsafe.astype(np.int64), n))
+        if len(odd):
+            parts = np.split(numbers, heads[1:])
+            for k in odd.tolist():
                 head, *rest = _CUT.split(texts[k])
                 parts[k] = self.words.numbers([(head,), *rest])
-        self._learn()
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        ids, n = self.ids.gather(flat)
-        return ids, by_doc(n, np.fromiter(map(len, parts), np.int64, len(parts)))
+                n[k] = len(parts[k])
+            self._learn()
+            numbers = np.concatenate(parts)
+        ids, k = self.ids.gather(numbers)
+        return ids, by_doc(k, n)
 
 
 @lru_cache(maxsize=2)
@@ -231,7 +236,7 @@ def _put(uri: str, data: bytes) -> None:
     system.move(tmp, path)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 32_000_000, block_bytes: int = 2_000_000) -> list[dict]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 32_000_000, block_bytes: int = 8_000_000) -> list[dict]:
     """Writes docs to `folder` and returns a record a file, in order: path, first (ids before it), n_docs, n_ids.
 
     A partition is a range of doc_id and becomes one file, or several of about shard_ids ids.
