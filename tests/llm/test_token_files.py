@@ -32,7 +32,7 @@ def test_words_give_the_whole_texts_ids():
     texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(14))) for _ in range(4000)] + [t or "" for t in AWKWARD]
     tok = T._tokenizer(PATH)
     e = T.WordEncoder(tok, np.dtype("<u2"))
-    e.words.limit = 500  # the table is trimmed again and again
+    e.limit = 500  # the table is trimmed again and again
     for lot in range(0, len(texts), 300):
         ids, n = e.encode(texts[lot : lot + 300])
         want = [x.ids for x in tok.encode_batch(texts[lot : lot + 300], add_special_tokens=False)]

@@ -27,15 +27,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Ragged, Words, blocks, by_doc, id_text, scratch
+from .common import Ragged, blocks, by_doc, id_text, scratch
 
 MAGIC = b"VLDTOK01"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_EVEN = re.compile(r"\S+(?:\n\S+)*")
+#: Parts without white space but single line ends inside (white space as Unicode has it, and what Python adds).
+_SPACES = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_EVEN = rf"^[^{_SPACES}]+(?:\n[^{_SPACES}]+)*$"
 
 
 class EliasFano:
@@ -94,71 +97,92 @@ class EliasFano:
 
 
 class WordEncoder:
-    """Ids of whole texts, each distinct part encoded once while it is in the table."""
+    """Ids of whole texts, each distinct part encoded once while it is in the table.
+
+    A part is what stands between two cuts, and its ids are those of a space and it; a text's first part has no space
+    before it and is kept under a key with a space in front, which no other part has.
+    """
 
     LOT = 500
 
-    def __init__(self, tokenizer, dtype):
-        self.tokenizer, self.words = tokenizer, Words(600_000)
+    def __init__(self, tokenizer, dtype, limit: int = 600_000):
+        self.tokenizer, self.limit = tokenizer, limit
+        self.table = pa.array([], pa.string())
         self.ids, self.open = Ragged(dtype), np.zeros(0, np.uint8)
         self.newline = self._encode(["\n"])[0][0]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.ids.values.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """Places of the parts in the table, which learns new ones."""
+        found = pc.index_in(parts, value_set=self.table)
+        numbers = found.fill_null(-1).to_numpy(zero_copy_only=False)
+        if found.null_count:
+            fresh = parts.filter(found.is_null()).dictionary_encode()
+            numbers = numbers.copy()
+            numbers[numbers < 0] = fresh.indices.to_numpy(zero_copy_only=False) + len(self.table)
+            self._learn(fresh.dictionary)
+            self.table = pa.concat_arrays([self.table, fresh.dictionary])
+        return numbers
+
+    def _learn(self, fresh: pa.Array) -> None:
         """Plain parts are encoded in lots with a line end between them, always a pre-token of its own there."""
-        fresh = self.words.take()
-        plain = [type(w) is str and _EVEN.fullmatch(w) is not None for w in fresh]
-        even, odd = [w for w, p in zip(fresh, plain, strict=True) if p], [w for w, p in zip(fresh, plain, strict=True) if not p]
-        lots = [even[i : i + self.LOT] for i in range(0, len(even), self.LOT)]
+        plain = pc.match_substring_regex(fresh, _EVEN)
+        even, odd = fresh.filter(plain).to_pylist(), fresh.filter(pc.invert(plain)).to_pylist()
+        breaks = pc.count_substring(fresh.filter(plain), "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        lots = range(0, len(even), self.LOT)
         flat, n = [], []
-        for lot, ids in zip(lots, self._encode([" " + "\n ".join(lot) for lot in lots]), strict=True):
+        for i, ids in zip(lots, self._encode([" " + "\n ".join(even[i : i + self.LOT]) for i in lots]), strict=True):
             # The line ends that part the words, not those inside them.
             ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-            if len(ends) > len(lot):
-                ends = ends[np.cumsum(np.fromiter((1 + w.count("\n") for w in lot), np.int64, len(lot))) - 1]
+            ends = ends[np.cumsum(breaks[i : i + self.LOT] + 1) - 1]
             flat.append(np.delete(ids, ends[:-1]))
             n.append(np.diff(ends, prepend=-1) - 1)
-        for ids in self._encode([w[0] if type(w) is tuple else f" {w}" for w in odd]):
+        for ids in self._encode([w[1:] if w[:1] == " " else f" {w}" for w in odd]):
             flat.append(ids)
             n.append(np.array([len(ids)]))
-        if fresh:
-            found = Ragged(self.ids.values.dtype)
-            found.extend(np.concatenate(flat), np.concatenate(n))
-            # 1: white space first, 2: white space last, 3: both, or nothing at all.
-            bare = [w[0] if type(w) is tuple else w for w in odd]
-            state = np.zeros(len(fresh), np.uint8)
-            state[len(even) :] = np.fromiter((w[0].isspace() | w[-1].isspace() << 1 if w else 3 for w in bare), np.uint8, len(bare))
-            # Back into the order in which the words were met.
-            at, plain = np.empty(len(fresh), np.int64), np.array(plain)
-            at[plain], at[~plain] = np.arange(len(even)), np.arange(len(even), len(fresh))
-            self.open = np.append(self.open, state[at])
-            self.ids.extend(*found.gather(at))
+        found = Ragged(self.ids.values.dtype)
+        found.extend(np.concatenate(flat), np.concatenate(n))
+        # 1: white space first, 2: white space last, 3: both, or nothing at all. A first part's own start does not matter.
+        bare = [w[1:] if w[:1] == " " else w for w in odd]
+        state = np.zeros(len(fresh), np.uint8)
+        state[len(even) :] = np.fromiter((w[0].isspace() | w[-1].isspace() << 1 if w else 3 for w in bare), np.uint8, len(bare))
+        # Back into the order in which the parts were met.
+        at, mask = np.empty(len(fresh), np.int64), plain.to_numpy(zero_copy_only=False)
+        at[mask], at[~mask] = np.arange(len(even)), np.arange(len(even), len(fresh))
+        self.open = np.append(self.open, state[at])
+        self.ids.extend(*found.gather(at))
+
+    def _trim(self) -> None:
+        """Forgets the later half of a table that has grown too large: frequent parts come early."""
+        if len(self.table) > self.limit:
+            left = self.limit // 2
+            self.table = pa.concat_arrays([self.table.slice(0, left), pa.array([], pa.string())])
+            self.ids.trim(left)
+            self.open = self.open[:left].copy()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if left := self.words.trim():
-            self.ids.trim(left)
-            self.open = self.open[:left].copy()
-        lists = pa.compute.split_pattern(pa.array(texts, pa.string()), " ")
+        self._trim()
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        numbers, heads = self.words.numbers_of(flat), np.cumsum(n) - n
-        numbers[heads] = self.words.numbers([(w,) for w in flat.take(pa.array(heads)).to_pylist()])
-        self._learn()
+        heads = np.cumsum(n) - n
+        numbers = self._numbers(flat)
+        numbers = numbers.copy()
+        numbers[heads] = self._numbers(pa.array([f" {w}" for w in flat.take(pa.array(heads)).to_pylist()], pa.string()))
         # White space beside a cut: the cut may be inside a pre-token, so in such texts only the safe cuts are made.
         state = self.open[numbers]
         unsafe = np.zeros(len(numbers), bool)
         unsafe[1:] = ((state[:-1] & 2) | (state[1:] & 1)) > 0
         unsafe[heads] = False
-        odd = np.flatnonzero(by_doc(unsafe.astype(np.int64), n))
-        if len(odd):
+        odd = np.flatnonzero(by_doc(unsafe.astype(np.int64), n)).tolist()
+        if odd:
+            cut = [_CUT.split(texts[k]) for k in odd]
+            again = self._numbers(pa.array([f" {w}" if not i else w for parts in cut for i, w in enumerate(parts)], pa.string()))
             parts = np.split(numbers, heads[1:])
-            for k in odd.tolist():
-                head, *rest = _CUT.split(texts[k])
-                parts[k] = self.words.numbers([(head,), *rest])
-                n[k] = len(parts[k])
-            self._learn()
+            for k, own in zip(odd, np.split(again, np.cumsum([len(x) for x in cut])[:-1]), strict=True):
+                parts[k], n[k] = own, len(own)
             numbers = np.concatenate(parts)
         ids, k = self.ids.gather(numbers)
         return ids, by_doc(k, n)
