@@ -92,9 +92,9 @@ class Chunks:
 
     def __init__(self, raws: list[bytes], most: int = 500_000):
         self.groups: list[list[bytes]] = []
-        held = most
+        held = 0
         for raw in raws:
-            if held + len(raw) > most:
+            if not self.groups or held + len(raw) > most:
                 self.groups.append([])
                 held = 0
             self.groups[-1].append(raw)
