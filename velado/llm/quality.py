@@ -46,8 +46,9 @@ def scaled(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class CumulativeLink:
-    def __init__(self, grades: int, rounds: int = 15, rate: float = 0.2, l2: float = 1e-5, seed: int = 5):
-        self.grades, self.rounds, self.rate, self.l2, self.seed = grades, rounds, rate, l2, seed
+    def __init__(self, grades: int, rounds: int = 15, steps: int = 600, rate: float = 0.2, l2: float = 1e-5, seed: int = 5):
+        """rounds over the sample, or more where it is so small that they make fewer than `steps` steps."""
+        self.grades, self.rounds, self.steps, self.rate, self.l2, self.seed = grades, rounds, steps, rate, l2, seed
         k = np.arange(1, grades)
         self.thresholds = np.log(k / (grades - k))
         self.weights = np.zeros(1 << BITS)
@@ -63,8 +64,9 @@ class CumulativeLink:
         first = first[0]
         rng, ends = np.random.default_rng(self.seed), np.append(0, np.cumsum(lengths))
         square, t_square = np.full(1 << BITS, 1e-4), np.full(self.grades - 1, 1e-2)
-        for _ in range(self.rounds):
-            for lot in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
+        lots = max(1, len(y) // 128)
+        for _ in range(max(self.rounds, -(-self.steps // lots))):
+            for lot in np.array_split(rng.permutation(len(y)), lots):
                 n = ends[lot + 1] - ends[lot]
                 at = np.repeat(ends[lot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 own = np.repeat(np.arange(len(lot)), n)
