@@ -396,3 +396,64 @@ def batch_status(spark, sf_dir):
 
     paths = table(spark, sf_dir, "customer").selectExpr(f"'/lote/a.b/' || cast({K} as string) || '.' || {_EXT} as path").withColumn("ext", S.extension(F.col("path"))).withColumn("supported", F.col("ext").isin(*S.SUPPORTED))
     return batch.summary(batch.statuses(paths))
+
+
+# Files and streams ---------------------------------------------------------------------------------------------------
+
+
+@query(f"select 'f' || {K} || '.txt' as path, 'linha ' || {K} || chr(10) || 'cpf ' || regexp_replace({CPF}, {re2(P.CPF_PARTS)}, '***.\\1.\\2-**') || chr(10) || 'fim' as text from customer")
+def txt_files(spark, sf_dir):
+    """Bytes with mixed line ends, read as TXT files and masked."""
+    from ..sources import files as S
+
+    raw = f"encode('linha ' || {K} || chr(13) || chr(10) || 'cpf ' || {CPF} || chr(13) || 'fim', 'UTF-8')"
+    files = table(spark, sf_dir, "customer").selectExpr(f"'f' || {K} || '.txt' as path", f"{raw} as content", "'txt' as ext")
+    return D.mask(S.txt(files), "text")
+
+
+@query(f"select 'f' || {K} || '.docx' as path, n::integer as para_no, n = 1 as in_table, case n when 0 then 'u' || {K} || ' [E-MAIL]' else 'celula ' || {K} end as text from customer, unnest([0, 1]) as x(n)")
+def docx_paragraphs(spark, sf_dir):
+    """A DOCX file for each customer, made on the fly: a body paragraph and a table cell, each masked on its own."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from ..sources import files as S
+
+    w = S.W.strip("{}")
+
+    def make(parts):
+        for part in parts:
+            rows = []
+            for k in part[K]:
+                p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+                xml = f'<w:document xmlns:w="{w}"><w:body>{p(f"u{k} u{k}@ex.com")}<w:tbl><w:tr><w:tc>{p(f"celula {k}")}</w:tc></w:tr></w:tbl></w:body></w:document>'
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("word/document.xml", xml)
+                rows.append((f"f{k}.docx", out.getvalue(), "docx"))
+            yield pd.DataFrame(rows, columns=["path", "content", "ext"])
+
+    files = table(spark, sf_dir, "customer").select(K).mapInPandas(make, "path string, content binary, ext string")
+    return D.mask(S.docx(files), "text")
+
+
+@query(f"{_text_mode_sql(_CALLS)} select * from done")
+def stream_sessions(spark, sf_dir):
+    """The calls as a stream, in one run of all that is there; markers as in the batch form."""
+    from ..streaming.sessions import anonymize_stream
+    from .cut import scratch
+
+    at = scratch(spark, "stream")
+    _calls(spark, sf_dir).selectExpr("scope_id", "cast(seq as long) as seq", "text").write.parquet(f"{at}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        calls = spark.readStream.schema("scope_id string, seq long, text string").parquet(f"{at}/in")
+        q = anonymize_stream(calls).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema("scope_id string, seq long, text string").parquet(f"{at}/out")
