@@ -6,40 +6,19 @@ input never clash with theirs. Texts reach Python as bytes (invalid UTF-8 surviv
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where none is (tests)."""
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="velado-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/velado-{name}-{uuid.uuid4().hex[:12]}"
-
+from ..plans.cut import scratch, shared_folder, written  # noqa: F401
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and no part is computed twice or lost with an executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+U64 = np.uint64
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,13 +51,27 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.A
         yield pa.concat_arrays(ids), raws
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """What a worker process keeps from task to task, such as a table of frequent words: one thing at a time, so that the
+    tables of a stage that is over do not weigh on the next."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 class Words(dict):
     """Distinct words -> dense numbers. New words wait in `fresh`.
 
     `trim`, between blocks, forgets the later half of a table that has grown too large: frequent words come early.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit, self.fresh = limit, []
 

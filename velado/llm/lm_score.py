@@ -15,13 +15,12 @@ alike; an empty corpus makes every word count half a time in one. Further column
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, Words, by_doc, mixed, scratch
+from .common import U64, Words, held, mixed, scratch
 from .decontaminate import hashes
 from .features import terms
 from .pages import REQUEST, answer, answered, buckets_for, distinct, requests, scan
@@ -57,10 +56,9 @@ class NGrams:
         return out, n
 
 
-@lru_cache(maxsize=2)
 def ngrams(order: int) -> NGrams:
     """One a worker process: it keeps the hashes of frequent words."""
-    return NGrams(order)
+    return held(("ngrams", order), lambda: NGrams(order))
 
 
 def _asked(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

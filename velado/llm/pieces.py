@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Ragged, Words, blocks, by_doc, id_text
+from .common import Ragged, Words, blocks, by_doc, held, id_text
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -250,10 +249,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One a worker process, so that a later task finds frequent words already encoded."""
-    return Encoder(path)
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_000_000) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, by_doc, mixed, scratch, spans
+from .common import U64, by_doc, held, mixed, scratch, spans
 from .pages import REQUEST, answer, answered, buckets_for, distinct, requests, scan
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -82,9 +82,8 @@ class Running:
         return mixed((self.sums[start + length] - self.sums[start]) * self.down[start] + U64(length))
 
 
-@lru_cache(maxsize=1)
 def _running() -> Running:
-    return Running()
+    return held(("running",), Running)
 
 
 class Chunks:

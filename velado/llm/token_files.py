@@ -23,7 +23,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Ragged, blocks, by_doc, id_text, scratch
+from .common import Ragged, blocks, by_doc, held, id_text, scratch
 
 MAGIC = b"VLDTOK01"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -188,7 +187,6 @@ class WordEncoder:
         return ids, by_doc(k, n)
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -201,10 +199,9 @@ def _tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, kind: str) -> WordEncoder:
     """One a worker process, so that a later task finds frequent words already encoded."""
-    return WordEncoder(_tokenizer(path), np.dtype(kind))
+    return held(("tokens", path, kind), lambda: WordEncoder(_tokenizer(path), np.dtype(kind)))
 
 
 def encode_texts(raws: list[bytes], encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
