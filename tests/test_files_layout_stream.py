@@ -21,6 +21,7 @@ def lot(tmp_path):
     (tmp_path / "sub" / "b.TXT").write_text("x@y.org")
     (tmp_path / "c.odt").write_text("?")
     (tmp_path / "d.pdf").write_text("?")
+    (tmp_path / "f.pdf").write_bytes(b"%PDF-1.7 trailer << /Encrypt 5 0 R >>")
     (tmp_path / "old_anonimizado.txt").write_text("a@b.co")
     with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
         z.writestr("word/document.xml", DOCX)
@@ -30,7 +31,7 @@ def lot(tmp_path):
 
 def test_batch(spark, lot):
     report = {os.path.basename(r.path): (r.status, r.error) for r in batch.run(spark, str(lot)).collect()}
-    assert report == {"a.txt": ("ok", None), "b.TXT": ("ok", None), "c.odt": ("failed", "unsupported: odt"), "d.pdf": ("skipped", "needs a page table"), "e.docx": ("ok", None)}
+    assert report == {"a.txt": ("ok", None), "b.TXT": ("ok", None), "c.odt": ("failed", "unsupported: odt"), "d.pdf": ("skipped", "needs a page table"), "f.pdf": ("failed", "encrypted"), "e.docx": ("ok", None)}
     assert (lot / "a_anonimizado.txt").read_text() == "CPF: ***.456.789-**\nfim �"
     assert (lot / "sub" / "b_anonimizado.TXT").read_text() == "[E-MAIL]"
     again = S.docx(S.scan(spark, str(lot)).unionByName(spark.read.format("binaryFile").load(str(lot / "e_anonimizado.docx")).selectExpr("path", "content", "'docx' as ext", "true as supported")))

@@ -14,11 +14,14 @@ from .document_mode import DocOptions, mask
 
 
 def statuses(files: DataFrame) -> DataFrame:
-    """(path, ext, status, error) before anything is read: only supported kinds go on, PDF waits for a reader."""
+    """(path, ext, status, error) before any text is read: unsupported kinds and encrypted PDFs fail, other PDFs wait for a
+    page table."""
+    locked = F.contains("content", F.lit(b"/Encrypt")) if "content" in files.columns else F.lit(False)
+    pdf = F.col("ext") == "pdf"
     return files.select(
         "path", "ext",
-        F.when(~F.col("supported"), "failed").when(F.col("ext") == "pdf", "skipped").otherwise("ok").alias("status"),
-        F.when(~F.col("supported"), F.concat(F.lit("unsupported: "), F.col("ext"))).when(F.col("ext") == "pdf", "needs a page table").alias("error"),
+        F.when(~F.col("supported") | (pdf & locked), "failed").when(pdf, "skipped").otherwise("ok").alias("status"),
+        F.when(~F.col("supported"), F.concat(F.lit("unsupported: "), F.col("ext"))).when(pdf & locked, "encrypted").when(pdf, "needs a page table").alias("error"),
     )
 
 

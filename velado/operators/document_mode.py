@@ -38,6 +38,11 @@ class DocOptions:
         return cls(**given)
 
 
+def term_list(lines: str) -> tuple[str, ...]:
+    """Terms as users type them: one a line, blanks dropped."""
+    return tuple(t for t in map(str.strip, lines.split("\n")) if t)
+
+
 def remove_terms(text: Column, terms: tuple[str, ...]) -> Column:
     for pattern in filter(None, map(P.tolerant, terms)):
         text = F.regexp_replace(text, pattern, "[REMOVIDO]")

@@ -115,3 +115,9 @@ def restore(replies: DataFrame, vault: DataFrame) -> DataFrame:
 def reserved_markers(calls: DataFrame) -> DataFrame:
     """Audit: calls whose text already holds a marker before anonymisation, which a new value may come to share."""
     return calls.filter(F.col("text").rlike(P.MARKER)).select("scope_id", "seq", hits(F.col("text"), P.MARKER).alias("markers"))
+
+
+def cache_keys(calls: DataFrame) -> DataFrame:
+    """calls with `cache_key`, the SHA-256 of the text. Of anonymised calls it serves as the key of an embedding or answer
+    cache: texts that differ in their values only share it within a scope, and no value can be read from it."""
+    return calls.withColumn("cache_key", F.sha2(F.coalesce("text", F.lit("")), 256))

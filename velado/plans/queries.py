@@ -303,6 +303,12 @@ def types_subset(spark, sf_dir):
     return text_mode.anonymize(_calls(spark, sf_dir), ("email", "nothing"))[0]
 
 
+@query(f"{_text_mode_sql(_CALLS)} select sha256(text) as cache_key, count(*) as n from done group by all")
+def cache_key_groups(spark, sf_dir):
+    rows = text_mode.anonymize(_calls(spark, sf_dir))[0]
+    return text_mode.cache_keys(rows).groupBy("cache_key").agg(F.count("*").alias("n"))
+
+
 _TURNS = "select cast(conv_id as string) as scope_id, turn as seq, text || ' contato a' || cast((conv_id + turn) % 3 as string) || '@ex.com' as text from conversations"
 
 
