@@ -52,6 +52,7 @@ def test_held_out_and_code_switched(spark):
     for k, t in enumerate(AWKWARD):
         r = got[5000 + k]
         assert (r.lang_pred == "und" and r.score == 0) if not any(c.isalpha() for c in t or "") else (r.lang_pred in model.labels and 0 < r.score <= 1)
+    assert L.predict(frame(spark, [(1, "½ ² 12")]), model).first().lang_pred == "und"
     rnd = random.Random(9)
     mixed = text(rnd, "fr", 40) + " " + text(rnd, "de", 60)
     p, letters, n = L.Labeller(model)([mixed.encode()])

@@ -6,6 +6,8 @@ input never clash with theirs. Texts reach Python as bytes (invalid UTF-8 surviv
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 
@@ -13,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.cut import scratch, shared_folder, written  # noqa: F401
@@ -21,8 +23,24 @@ from ..plans.cut import scratch, shared_folder, written  # noqa: F401
 U64 = np.uint64
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches by bytes: rows of long texts would otherwise fill 64 MB at a time, in Python and in the JVM. A value
+    that the session sets itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864", "67108864b"):
+        spark.conf.set(key, size)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, for a worker process that goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id long, raw binary); a null text becomes empty bytes."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b"")).alias("raw"))
 
 
@@ -49,6 +67,8 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.A
             start = end
     if ids:
         yield pa.concat_arrays(ids), raws
+    del ids, raws
+    give_back()
 
 
 _held: dict = {}
@@ -60,7 +80,7 @@ def held(key: tuple, make):
     if key not in _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held[key] = make()
     return _held[key]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, id_text, mixed, scratch
+from .common import U64, id_text, mixed, scratch, small_batches
 
 SPACE = b"\t\n\x0b\x0c\r "
 TAIL = bytes(range(0x80, 0xC0))
@@ -252,6 +252,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             short = [d[:digest_size].ljust(32, b"\0") for d in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(found, pa.binary()), pa.array(_maybe(short, slices))], names=[x.name for x in schema])
 
+    small_batches(docs.sparkSession)
     marked = own.withColumn("id", own[f"c{docs.columns.index(id_col)}"].cast("long")).withColumn("raw", raw).mapInArrow(mark, schema)
     doubt = _decided(marked.filter("maybe_hit"), of_group, digest_size, salts, columns).filter("kept").select(columns)
     return marked.filter("not maybe_hit").select(columns).unionByName(doubt).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ragged, Words, blocks, by_doc, id_text
+from .common import Ragged, Words, blocks, by_doc, id_text, small_batches
 from .features import in_fold
 
 BITS = 18
@@ -186,7 +186,7 @@ class Labeller:
             lists = Ragged(np.int64)
             lists.append([word_features(w) for w in fresh])
             self.emit = np.concatenate((self.emit, self.model.emissions(lists.values, np.diff(lists.ends))))
-            self.letters = np.append(self.letters, np.fromiter(map(len, fresh), np.int64, len(fresh)))
+            self.letters = np.append(self.letters, np.fromiter((sum(map(str.isalpha, w)) for w in fresh), np.int64, len(fresh)))
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
         first = np.zeros(len(flat), bool)
@@ -237,8 +237,8 @@ def predict(docs: DataFrame, model: CRF, *, id_col: str = "doc_id", text_col: st
         doc = np.repeat(np.arange(len(n)), n)
         switch = np.zeros(len(own), np.int64)
         switch[1:] = (own[1:] != own[:-1]) & (doc[1:] == doc[:-1])
-        # A word's most letters: sums may lose the last bits of a long block, never below nothing.
-        known = n > 0
+        # A fraction or a superscript makes a word of no letters, which says nothing.
+        known = by_doc(letters, n) > 0
         score = np.where(known, np.clip(sums[np.arange(len(n)), best] / np.maximum(total, 1e-12), 0, 1), 0)
         return names[np.where(known, best, len(model.labels))].tolist(), score, n, by_doc(switch, n)
 
@@ -260,6 +260,7 @@ def predict(docs: DataFrame, model: CRF, *, id_col: str = "doc_id", text_col: st
 
     if not keep:
         return id_text(docs, id_col, text_col).mapInArrow(rows, "id long, lang_pred string, score double, n_words long, n_switches long")
+    small_batches(docs.sparkSession)
     # Columns travel under names of their own, so that they may be called anything.
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     raw = F.coalesce(own[f"c{docs.columns.index(text_col)}"].cast("string").cast("binary"), F.lit(b""))
