@@ -78,7 +78,9 @@ class Trie:
             node[0] = k
         self.beside: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.penalty = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0) - 10.0
+        # In single precision, in which the format's own encoder adds: where sums are equal but for rounding, it decides.
+        self.scores = [np.float32(s) for s in model.scores]
+        self.penalty = np.float32(min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0)) - np.float32(10)
 
     def merge(self, text: str) -> list[int]:
         """BPE by its definition: again and again the best-scoring adjacent pair, the leftmost of equals. -1: no piece."""
@@ -113,7 +115,7 @@ class Trie:
         bpe = self.model.kind == BPE
         step, ends = (self._bpe if bpe else self._viterbi), self.ends
         out: list[list[int]] = []
-        frames: list = [(None, 0, 0.0)]
+        frames: list = [(None, 0, np.float32(0))]
         before = ""
         for word in words:
             if bpe and word[:2] == MARK * 2:
@@ -156,8 +158,8 @@ class Trie:
         return -1 - ord(word[i]), i, 0.0
 
     def _viterbi(self, word: str, i: int, frames: list, level: dict) -> tuple:
+        # Of equal scores the longer last piece wins.
         best = (-1 - ord(word[i]), i, frames[i][2] + self.penalty)
-        one = False
         j = i
         while j >= 0:
             node = level.get(word[j])
@@ -165,9 +167,8 @@ class Trie:
                 break
             k, level = node
             if k is not None:
-                score = frames[j][2] + self.model.scores[k]
-                one |= j == i
-                if score > best[2] or (j == i and best[0] < 0):
+                score = frames[j][2] + self.scores[k]
+                if score >= best[2] or (j == i and best[0] < 0):
                     best = (k, j, score)
             j -= 1
         return best
