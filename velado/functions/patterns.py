@@ -38,8 +38,8 @@ ANCHORS = (
     r"(?iUd)(?:Prof\.|Profa\.|Professora?|Dr\.|Dra\.|Doutora?|Sr\.|Sra\.|Senhora?)\s+([^\n\r,.;\(\)–-]+)",
     r"(?iUd)À\s+consideração\s+d[eoa]\s+([^\n\r,.;\(\)–-]+)",
 )
-BETWEEN_LETTERS = r"[\s ​‌‍­._-]*"
-BETWEEN_WORDS = r"(?:[\s ​\r\n\t]+|(?:-\s*[\r\n]+\s*))"
+BETWEEN_LETTERS = r"[\s\u00A0\u200B\u200C\u200D\u00AD._-]*"
+BETWEEN_WORDS = r"(?:[\s\u00A0\u200B\r\n\t]+|(?:-\s*[\r\n]+\s*))"
 
 
 def _literal(ch: str) -> str:

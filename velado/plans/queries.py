@@ -6,6 +6,7 @@ expression that both engines read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,7 @@ def re2(pattern: str) -> str:
     """The pattern as RE2 writes it; Unicode classes make no difference on the texts here."""
     for java, other in (("(?iUd)", "(?i)"), ("(?iU:", "(?i:"), ("(?Ud)", ""), ("(?iU)", "(?i)"), ("(?U)", "")):
         pattern = pattern.replace(java, other)
+    pattern = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern)
     return "'" + pattern.replace("'", "''") + "'"
 
 
