@@ -75,3 +75,19 @@ def test_columns_equal_plain_python(spark):
     assert vault == {(s, m): v for s, x in sessions.items() for m, v in x.known.values()}
     restored = T.restore(calls(spark, [(s, q, t) for (s, q), t in texts.items()]), T.anonymize(calls(spark, rows))[1])
     assert restored.filter(F.col("text").rlike(r"\[CPF_\d+\]")).count() == 0
+
+
+def test_numbering_across_ranges(spark):
+    """One scope in several sorted ranges: its values are still 1, 2, 3 ... in order."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        first = spark.range(500).selectExpr("case when id < 450 then 'hot' else cast(id % 3 as string) end as scope_id", "cast(id as string) as key", "named_struct('seq', (id * 7919) % 500, 'form', 0, 'pos', 0, 'value', 'v') as first")
+        got = T._numbered(first)
+        rows = got.collect()
+    finally:
+        spark.conf.set(key, before)
+    for scope in ("hot", "0", "1", "2"):
+        own = sorted((r.first.seq, r.ordinal) for r in rows if r.scope_id == scope)
+        assert [o for _, o in own] == list(range(1, len(own) + 1))

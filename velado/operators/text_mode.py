@@ -5,7 +5,7 @@ telephone, CPF, RG), each on what the one before left, because a marker's length
 finds hits in every row at once, numbers each scope's distinct values by first occurrence, and rewrites by position.
 
 Only hits are exploded and shuffled; the text rows meet their markers once a pass. Distinct values of a scope are reduced
-before the shuffle, so a value that recurs a million times is one row a task.
+before the shuffle, so a value that recurs a million times is one row a task, and a scope's values are numbered in ranges.
 """
 
 from __future__ import annotations
@@ -46,6 +46,21 @@ def _rewritten(text: Column, pattern: str, group: int, markers: Column) -> Colum
     return joined(gaps(text, pattern), piece)
 
 
+def _numbered(first: DataFrame) -> DataFrame:
+    """first (scope_id, key, first) with `ordinal`: 1, 2, ... in each scope, in the order of first occurrence.
+
+    A scope may hold a large part of all values, so no task numbers a whole scope: values are sorted into ranges, numbered
+    within each range, and moved on by what the ranges before hold of their scope.
+    """
+    place = ["scope_id", "first.seq", "first.form", "first.pos"]
+    ranged = written(first.repartitionByRange(*(F.col(c) for c in place)).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("scope_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("scope_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("scope_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("scope_id", "part").orderBy("first.seq", "first.form", "first.pos"))
+    return ranged.withColumn("within", within).join(offsets, ["scope_id", "part"]).withColumn("ordinal", (F.col("before") + F.col("within")).cast("long")).drop("part", "within", "before")
+
+
 def anonymize(calls: DataFrame, types: Iterable[str] = TYPES) -> tuple[DataFrame, DataFrame]:
     """(calls with their texts rewritten, vault). Unknown type names are ignored; null and empty texts pass through.
 
@@ -62,8 +77,7 @@ def anonymize(calls: DataFrame, types: Iterable[str] = TYPES) -> tuple[DataFrame
             found = each if found is None else found.unionByName(each)
         found = written(found.select("scope_id", "seq", "form", "pos", F.col("hit.value").alias("value"), F.col("hit.key").alias("key")), "hits")
         first = found.groupBy("scope_id", "key").agg(F.min(F.struct("seq", "form", "pos", "value")).alias("first"))
-        order = Window.partitionBy("scope_id").orderBy("first.seq", "first.form", "first.pos")
-        vault = first.withColumn("ordinal", F.row_number().over(order).cast("long"))
+        vault = _numbered(first)
         vault = written(vault.select(F.col("scope_id"), F.lit(name).alias("type"), "ordinal", marker(F.lit(name), F.col("ordinal")).alias("marker"), F.col("first.value").alias("original"), F.col("key").alias("canonical")), "vault")
         vaults.append(vault)
         marked = found.join(vault.select("scope_id", F.col("canonical").alias("key"), "marker"), ["scope_id", "key"])
