@@ -8,8 +8,11 @@ import sys
 import corpus_pipeline
 import pytest
 from common import brute_classes, frame, invented, words
+from oracle import rows_of, rows_of_sql
 from test_language import text
 
+from velado.llm.registry import QUERIES, SQL
+
 HOME = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
 
 
@@ -76,9 +79,12 @@ def test_the_rest_does_without(tmp_path):
     assert importlib.util.find_spec("velado.llm")
 
 
-def test_registered_queries_run(spark, sf_dir):
-    from velado.llm.registry import QUERIES
+@pytest.mark.parametrize("name", SQL)
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert rows_of(QUERIES[name](spark, sf_dir)) == rows_of_sql(SQL[name], sf_dir)
 
+
+def test_registered_queries_run(spark, sf_dir):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name, f in QUERIES.items():

@@ -208,3 +208,16 @@ def report(found: DataFrame) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return report(search(build_index(docs, scratch(spark, "positions")), items))
+
+
+ORACLE = r"""
+with lower_d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+lower_i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as (select distinct item_id, least(8, len(w)) as n, array_to_string(w[i:i + least(8, len(w)) - 1], ' ') as s from (select item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as i from lower_i where len(w) > 0)),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as s from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from lower_d) join (select distinct n from iw) on i + n - 1 <= len(w)),
+hit as (select doc_id, i, n, item_id from dw join iw using (n, s)),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+it as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from hit group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from lower_d left join pos using (doc_id) left join it using (doc_id)
+"""

@@ -329,3 +329,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classes(docs).select(F.col("id").alias("doc_id"), "class_id", F.expr("id <=> class_id").alias("kept"))
+
+
+ORACLE = r"""
+with recursive lower_d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+sh as (select doc_id, s, count(*) as c from (select doc_id, array_to_string(w[i:least(i + 4, len(w))], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from lower_d where len(w) > 0)) group by all),
+tot as (select doc_id, sum(c) as t from sh group by all),
+pair as (select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as shared from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+edge as (select a, b from pair join tot ta on ta.doc_id = a join tot tb on tb.doc_id = b where shared / (ta.t + tb.t - shared) >= 0.8),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from reach r join edge e on r.b = e.a)
+select a as doc_id, min(b) as class_id, a = min(b) as kept from reach group by a
+"""
