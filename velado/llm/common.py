@@ -23,7 +23,7 @@ from ..plans.cut import scratch, shared_folder, written  # noqa: F401
 U64 = np.uint64
 
 
-def small_batches(spark: SparkSession, size: str = "4m") -> None:
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
     """Arrow batches by bytes: rows of long texts would otherwise fill 64 MB at a time, in Python and in the JVM. A value
     that the session sets itself stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -46,6 +46,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Rows of (id, raw) in blocks of about `limit` bytes; a longer text is a block of its own, whole."""
+    give_back()
     ids: list[pa.Array] = []
     raws: list[bytes] = []
     held = 0
@@ -91,7 +92,7 @@ class Words(dict):
     `trim`, between blocks, forgets the later half of a table that has grown too large: frequent words come early.
     """
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit, self.fresh = limit, []
 

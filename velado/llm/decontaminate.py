@@ -109,7 +109,7 @@ class Segment:
         return cls(batch.column("doc_ids")[k].as_py(), *(get(x, "<u4").astype(np.int64) for x in ("starts", "words")), get("terms", "<u8"), get("ends", "<u4").astype(np.int64), get("positions", "<u4"))
 
 
-def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4_000_000) -> DataFrame:
+def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 2_000_000) -> DataFrame:
     """Writes the index of docs to `path` and returns its rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,7 +174,7 @@ class Labeller:
     """Blocks of texts -> label probabilities of their words; a word's features are looked up once while in the table."""
 
     def __init__(self, model: CRF):
-        self.model, self.words = model, Words()
+        self.model, self.words = model, Words(250_000)
         self.emit, self.letters = np.zeros((0, len(model.labels))), np.zeros(0, np.int64)
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,9 +183,10 @@ class Labeller:
             self.emit, self.letters = self.emit[:left].copy(), self.letters[:left].copy()
         parts = [self.words.numbers(words_of(raw)) for raw in raws]
         if fresh := self.words.take():
-            lists = Ragged(np.int64)
-            lists.append([word_features(w) for w in fresh])
-            self.emit = np.concatenate((self.emit, self.model.emissions(lists.values, np.diff(lists.ends))))
+            for i in range(0, len(fresh), 20_000):
+                lists = Ragged(np.int32)
+                lists.append([word_features(w) for w in fresh[i : i + 20_000]])
+                self.emit = np.concatenate((self.emit, self.model.emissions(lists.values, np.diff(lists.ends))))
             self.letters = np.append(self.letters, np.fromiter((sum(map(str.isalpha, w)) for w in fresh), np.int64, len(fresh)))
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.concatenate(parts) if parts else np.empty(0, np.int32)

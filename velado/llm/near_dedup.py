@@ -144,7 +144,7 @@ def node_of(packed: bytes) -> bytes:
     return hashlib.blake2b(packed, digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_000_000) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 500_000) -> DataFrame:
     """(id, node, sig) of each row; node, the digest of the multiset, and sig are null where there are no words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def bags_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, bits
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags, last = Bags(), set()
-        for _, raws in blocks(batches, 1_000_000):
+        for _, raws in blocks(batches, 500_000):
             h, c, n = bags(raws)
             ends = np.cumsum(n).tolist()
             found = {}

@@ -181,7 +181,7 @@ class Encoder:
         with open(path, "rb") as f:
             data = f.read()
         self.model = Model(data)
-        self.trie, self.words = Trie(self.model), Words()
+        self.trie, self.words = Trie(self.model), Words(250_000)
         self.ids, self.table = Ragged(np.int32), self.model.byte_table()
         self.normalize = None
         if not self.model.plain:
