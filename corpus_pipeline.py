@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document with any window of any benchmark item goes."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.report(decontaminate.search(decontaminate.build_index(docs, scratch(spark, "positions")), items))
-    return without(docs, written(found.filter("n_items > 0").select("doc_id"), "leaks"), "doc_id")
+    found = decontaminate.search(decontaminate.build_index(docs, scratch(spark, "positions")), items)
+    return without(docs, written(found.filter("size(items) > 0").select("doc_id"), "leaks"), "doc_id")
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

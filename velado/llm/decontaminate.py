@@ -18,7 +18,6 @@ nothing. Further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -144,7 +143,7 @@ def _chunks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator
 
 
 def search(index: DataFrame, items: DataFrame, *, size: int = 8, slop: int | None = None, id_col: str = "item_id", text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
-    """For each indexed document: segment, k, doc_id, n_words, hits (array of bitmaps of its words), items (array).
+    """For each indexed document: segment, k, doc_id, n_words, hits (array of bitmaps of its words), n_hit, items (array).
 
     With `slop` a window matches where all its words are at most that far from its rarest one, which is the word hit.
     """
@@ -173,36 +172,40 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, slop: int | Non
                             hit[spans(places, np.full(len(places), wide))] = True
                             for d in np.unique(np.searchsorted(s.starts, places, "right") - 1).tolist():
                                 items_of[d].update(names[w])
-                    bits = [[np.packbits(hit[a : a + m]).tobytes()] if d in items_of else [] for d, (a, m) in enumerate(zip(s.starts.tolist(), s.words.tolist(), strict=True))]
+                    own = [hit[a : a + m] if d in items_of else None for d, (a, m) in enumerate(zip(s.starts.tolist(), s.words.tolist(), strict=True))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column("segment")[row].as_py()] * n), pa.array(range(n), pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(s.words, pa.int64()), pa.array(bits, pa.list_(pa.binary())), pa.array([sorted(items_of.get(d, ())) for d in range(n)], pa.list_(pa.string()))],
-                        names=["segment", "k", "doc_id", "n_words", "hits", "items"],
-                    )
+                        [
+                            pa.array([batch.column("segment")[row].as_py()] * n), pa.array(range(n), pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(s.words, pa.int64()),
+                            pa.array([[] if x is None else [np.packbits(x).tobytes()] for x in own], pa.list_(pa.binary())), pa.array([0 if x is None else int(x.sum()) for x in own], pa.int64()),
+                            pa.array([sorted(items_of.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                        ],
+                        names=["segment", "k", "doc_id", "n_words", "hits", "n_hit", "items"],
+                    )
 
         return match
 
-    out = "segment string, k int, doc_id long, n_words long, hits array<binary>, items array<string>"
+    out = "segment string, k int, doc_id long, n_words long, hits array<binary>, n_hit long, items array<string>"
     parts = [index.mapInArrow(matcher(windows(chunk, size)), out) for chunk in _chunks(items, id_col, text_col, chunk_bytes)] or [index.mapInArrow(matcher({}), out)]
     if len(parts) == 1:
         return parts[0]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    return all_.groupBy("segment", "k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = all_.groupBy("segment", "k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.sum("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that several chunks hit count once."""
+        for batch in batches:
+            n = [int(np.bitwise_or.reduce([np.unpackbits(np.frombuffer(x, np.uint8)) for x in maps]).sum()) if maps else 0 for maps in batch.column("hits").to_pylist()]
+            yield batch.set_column(5, "n_hit", pa.array(n, pa.int64()))
 
-def report(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least two items) from what `search` returns."""
+    return merged.mapInArrow(union, out)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [int(np.bitwise_or.reduce([np.unpackbits(np.frombuffer(x, np.uint8)) for x in maps]).sum()) if maps else 0 for maps in batch.column("hits").to_pylist()]
-            names = batch.column("items").to_pylist()
-            digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-            n = [len(x) for x in names]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array([x >= 2 for x in n], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return found.mapInArrow(count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def report(found: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least two items) from what `search` returns."""
+    n = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
