@@ -81,7 +81,7 @@ def has_any(normalized: Column, values: tuple[str, ...]) -> Column:
 def is_name(x: Column, first_names: Column | None = None) -> Column:
     """Whether a candidate looks like a person's name: two words, nothing protected or institutional, a known first name.
 
-    first_names: an array column; the short list here if not given.
+    first_names: an array column; the whole list of gazetteer.py if not given.
     """
     bare = F.array_join(words(x), " ")
     n = normalize_text(bare)
