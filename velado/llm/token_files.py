@@ -11,7 +11,8 @@ document with no 64-bit table.
 
 Each document's text is encoded whole. Words between single spaces recur, so a task encodes each distinct one once: a
 space between two non-space characters always starts a new pre-token of byte-level BPE, so the parts' ids, put together,
-are those of the whole text.
+are those of the whole text. An added token in a text (`<|endoftext|>`) has its own id, and what stands before and after
+it is encoded as a text by itself, as the tokenizer does.
 
 Nulls and edges: a null or empty text is the end id alone; null doc_ids come first; rows with one doc_id stand next to
 each other, in the order of their bytes; an empty table gives no file and no row. Further columns are ignored.
@@ -109,6 +110,11 @@ class WordEncoder:
         self.table = pa.array([], pa.string())
         self.ids, self.open = Ragged(dtype), np.zeros(0, np.uint8)
         self.newline = self._encode(["\n"])[0][0]
+        added = tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: k for k, t in added.items()}
+        self.marker = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
+        # Those that take white space beside them, or stand for whole words only, or are looked for in normalized text.
+        self.wide = any(t.lstrip or t.rstrip or t.single_word or (t.normalized and tokenizer.normalizer is not None) for t in added.values())
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.ids.values.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -162,7 +168,27 @@ class WordEncoder:
             self.open = self.open[:left].copy()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+        """(ids of all texts, number of ids of each); a text with added tokens is encoded as the texts between them."""
+        marked = {k: self.marker.findall(x) for k, x in enumerate(texts) if self.marker.search(x)} if self.marker else {}
+        if not marked:
+            return self._encode_plain(texts)
+        if self.wide:
+            ids, n = self._encode_plain(["" if k in marked else x for k, x in enumerate(texts)])
+            whole = self._encode([texts[k] for k in marked])
+            at = (np.cumsum(n) - n)[list(marked)]
+            k = np.array([len(x) for x in whole])
+            n[list(marked)] = k
+            return np.insert(ids, np.repeat(at, k), np.concatenate(whole)), n
+        pieces = [self.marker.split(x) if k in marked else [x] for k, x in enumerate(texts)]
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids, n = self._encode_plain([x for own in pieces for x in own])
+        # A marker stands after every piece of a text but its last.
+        inner = np.ones(len(n), bool)
+        inner[np.cumsum(counts) - 1] = False
+        between = np.array([self.added[x] for own in marked.values() for x in own], ids.dtype)
+        return np.insert(ids, np.cumsum(n)[inner], between), by_doc(n, counts) + counts - 1
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self._trim()
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -194,7 +220,6 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     t.model._resize_cache(0)  # words come once, so its own cache only costs time
     return t
 
