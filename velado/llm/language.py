@@ -1,6 +1,7 @@
 """Language ID: a linear-chain conditional random field over the words of a text.
 
-Words are runs of letters. A word's label scores are sums of weights of its affixes, character n-grams and itself (the
+Words are runs of letters. A run of over 40 of them, as in glued words or a script without spaces, is cut into even pieces
+of at most 40, which are labelled like words; its label probabilities are the mean of theirs by letters. A word's label scores are sums of weights of its affixes, character n-grams and itself (the
 lexicon), and learned transitions say how readily one language follows another; forward-backward gives each word's label
 probabilities, so a text that switches languages is labelled word by word. A document's language is the one with the
 largest sum of them (words weigh by their letters), its score the share of that sum.
@@ -32,6 +33,8 @@ from .features import in_fold
 
 BITS = 18
 UNKNOWN = "und"
+#: Letters of a piece at most, and the mark of a side where a longer run was cut (no letter, so in no word).
+PIECE, CUT = 40, "\0"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,11 +42,35 @@ def words_of(raw: bytes) -> list[str]:
     return _WORD.findall(raw.decode("utf-8", "replace").lower())
 
 
+def pieces_of(word: str) -> list[str]:
+    """The word itself, or even pieces of a run longer than PIECE."""
+    if len(word) <= PIECE:
+        return [word]
+    k = -(-len(word) // PIECE)
+    bounds = [len(word) * i // k for i in range(k + 1)]
+    return [CUT * (i > 0) + word[bounds[i] : bounds[i + 1]] + CUT * (i < k - 1) for i in range(k)]
+
+
+def units_of(raw: bytes) -> list[str]:
+    """words_of, longer runs in pieces."""
+    words = words_of(raw)
+    return words if max(map(len, words), default=0) <= PIECE else [x for w in words for x in pieces_of(w)]
+
+
 def word_features(word: str) -> list[int]:
-    """Hashed: the word, its affixes of up to three letters, and its character n-grams of one to three letters."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    b = f"^{w}$"
-    names = {f"w{word}", *(f"p{w[:k]}" for k in (1, 2, 3)), *(f"s{w[-k:]}" for k in (1, 2, 3)), *w}
+    """Hashed: the word, its affixes of up to three letters, and its character n-grams of one to three letters.
+
+    A piece has the n-grams of its letters; affixes only where its run begins or ends.
+    """
+    w, begins, ends = word.strip(CUT), word[0] != CUT, word[-1] != CUT
+    b = "^" * begins + w + "$" * ends
+    names = {*w}
+    if begins and ends:
+        names.add(f"w{w}")
+    if begins:
+        names.update(f"p{w[:k]}" for k in (1, 2, 3))
+    if ends:
+        names.update(f"s{w[-k:]}" for k in (1, 2, 3))
     names.update(b[i : i + 2] for i in range(len(b) - 1))
     names.update(b[i : i + 3] for i in range(len(b) - 2))
     return [xxhash.xxh32_intdigest(x) & ((1 << BITS) - 1) for x in names]
@@ -176,23 +203,31 @@ class Labeller:
     def __init__(self, model: CRF):
         self.model, self.words = model, Words(250_000)
         self.emit, self.letters = np.zeros((0, len(model.labels))), np.zeros(0, np.int64)
+        self.inner = np.zeros(0, bool)  # pieces that do not begin their run
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probabilities by word, letters by word, words by document)."""
         if left := self.words.trim():
-            self.emit, self.letters = self.emit[:left].copy(), self.letters[:left].copy()
-        parts = [self.words.numbers(words_of(raw)) for raw in raws]
+            self.emit, self.letters, self.inner = self.emit[:left].copy(), self.letters[:left].copy(), self.inner[:left].copy()
+        parts = [self.words.numbers(units_of(raw)) for raw in raws]
         if fresh := self.words.take():
             for i in range(0, len(fresh), 20_000):
                 lists = Ragged(np.int32)
                 lists.append([word_features(w) for w in fresh[i : i + 20_000]])
                 self.emit = np.concatenate((self.emit, self.model.emissions(lists.values, np.diff(lists.ends))))
             self.letters = np.append(self.letters, np.fromiter((sum(map(str.isalpha, w)) for w in fresh), np.int64, len(fresh)))
+            self.inner = np.append(self.inner, np.fromiter((w[0] == CUT for w in fresh), bool, len(fresh)))
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
         first = np.zeros(len(flat), bool)
         first[(np.cumsum(n) - n)[n > 0]] = True
-        return self.model.marginals(self.emit[flat], first), self.letters[flat], n
+        p, letters, begins = self.model.marginals(self.emit[flat], first), self.letters[flat], ~self.inner[flat]
+        if begins.all():
+            return p, letters, n
+        # Runs from their pieces; one of no letters at all has the plain mean.
+        at, weight = np.flatnonzero(begins), np.maximum(letters, 1e-9)
+        p = np.add.reduceat(p * weight[:, None], at) / np.add.reduceat(weight, at)[:, None]
+        return p, np.add.reduceat(letters, at), by_doc(begins.astype(np.int64), n)
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000, words: int = 200, **options) -> CRF:
@@ -214,7 +249,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             found = []
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = words_of(raw)
+                w = units_of(raw)
                 at = xxhash.xxh32_intdigest(str(k)) % max(1, len(w) - words + 1)
                 found.append(w[at : at + words])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], names=["id", "words", "lang"])
