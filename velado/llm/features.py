@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,27 +56,36 @@ def in_fold(id_col: str, mod: int, rest: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, rows: int, make: Callable[[], Featurizer], *, id_col: str = "doc_id", text_col: str = "text", entries: int = 6_000_000, block_bytes: int = 2_000_000) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Features of at most `rows` labelled documents, those with the smallest hashes of id, and at most `entries` in all.
 
-    labels: (id, y), one a document, already restricted to the training fold. Returns y, features, counts, lengths.
-    Only ids, labels and counted features come to the driver, so what it holds is bounded by the two parameters.
+    labels: (id, y), one a document, already restricted to the training fold. Returns y, features, counts, lengths, in
+    order of the hashes. Where `entries` is met, the documents with the largest hashes go, wherever they stand in the
+    table; one with more features than that by itself is left out. Only ids, labels and counted features come to the
+    driver, so what it holds is bounded by the two parameters.
     """
     chosen = labels.filter("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("y", "raw", "id")
+    texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select(F.struct("y", "id", F.xxhash64("id").alias("hash")).alias("key"), "raw")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurize = make()
-        for ys, raws in blocks(batches, block_bytes):
+        for keys, raws in blocks(batches, block_bytes):
             feats, counts, n = featurize(raws)
             ends = np.append(0, np.cumsum(n)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (feats, counts)]
-            yield pa.RecordBatch.from_arrays([ys, *lists], names=["y", "feats", "counts"])
+            yield pa.RecordBatch.from_arrays([keys, *lists], names=["key", "feats", "counts"])
 
-    ys, feats, counts, total = [], [], [], 0
-    for row in texts.mapInArrow(extract, "y long, feats array<int>, counts array<int>").toLocalIterator():
-        if total + len(row.feats) > entries:
+    # A heap with the largest key first. Rows of one key have the same features, so it does not matter which of them go.
+    kept, total, least_gone = [], 0, None
+    for number, row in enumerate(texts.mapInArrow(extract, "key struct<y: long, id: long, hash: long>, feats array<int>, counts array<int>").toLocalIterator()):
+        if len(row.feats) > entries:
             continue
-        ys.append(row.y)
-        feats.append(np.array(row.feats, np.int64))
-        counts.append(np.array(row.counts, np.int64))
-        total += len(row.feats)
+        feats, counts = np.array(row.feats, np.int64), np.array(row.counts, np.int64)
+        key = (-row.key.hash, -row.key.id, -row.key.y, -xxhash.xxh64_intdigest(feats.tobytes() + counts.tobytes()))
+        if least_gone is not None and key <= least_gone:
+            continue
+        heapq.heappush(kept, (key, number, feats, counts))
+        total += len(feats)
+        while total > entries:
+            least_gone, _, gone, _ = heapq.heappop(kept)
+            total -= len(gone)
+    kept.sort(key=lambda x: x[0], reverse=True)
     flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return ys, flat(feats), flat(counts), np.array([len(x) for x in feats], np.int64)
+    return [-x[0][2] for x in kept], flat([x[2] for x in kept]), flat([x[3] for x in kept]), np.array([len(x[2]) for x in kept], np.int64)
