@@ -16,9 +16,17 @@ def one(spark, column, *values):
     return df.select(column(*(F.col(n) for n in names)).alias("x")).first().x
 
 
+#: First names as a caller passes them.
+NAMES = ["José", "MARIA", "Ana", "ana ", "", None]
+
+
 def masked(spark, text, **options):
-    df = spark.createDataFrame([(text, 1)], "text string, _text long")
-    return mask(df.drop("_text"), "text", DocOptions.of(options)).first().text
+    """Beside columns that are named like the operator's own, which stay."""
+    names = ["_text", "_gaps", "_hits", "_names", "_GAPS_"]
+    df = spark.createDataFrame([(text, *names)], "text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mask(df, "text", DocOptions.of(options), NAMES)
+    assert out.columns == df.columns and tuple(out.first())[1:] == tuple(names)
+    return out.first().text
 
 
 def test_every_rule(spark):
@@ -70,14 +78,14 @@ def test_prefixes(spark, raw, want):
 
 @pytest.mark.parametrize("name", ["São Paulo", "Rio de Janeiro", "Universidade Maria", "Maria", "Zoroastro Pereira", "Edital José Silva", "", None])
 def test_no_names(spark, name):
-    assert one(spark, C.is_name, name) is False
+    assert one(spark, lambda n: C.is_name(n, NAMES), name) is False
 
 
 def test_names_and_own_list(spark):
-    assert one(spark, C.is_name, " José  da Silva ") is True
+    assert one(spark, lambda n: C.is_name(n, NAMES), " José  da Silva ") is True
     assert one(spark, lambda n: C.is_name(n, F.array(F.lit("ZOROASTRO"))), "Zoroastro Pereira") is True
     text = "Assinado eletronicamente por Otto Reis, em 3/4\nRelatora: Universidade Federal\nANA MARIA LIMA chegou\nDr. Ulisses Prado. Maria Clara Souza"
-    assert one(spark, lambda t: F.array_join(N.extract_names(t), "|"), text) == "ANA MARIA LIMA|Maria Clara Souza|Otto Reis|Ulisses Prado"
+    assert one(spark, lambda t: F.array_join(N.extract_names(t, NAMES), "|"), text) == "ANA MARIA LIMA|Maria Clara Souza|Otto Reis|Ulisses Prado"
 
 
 @pytest.mark.parametrize(("name", "want"), [("Ana Clara de Souza", "A. C. S."), ("J. R Tolkien", "J. R. T."), ("de da", "[N.I.]"), ("x ana", "A."), ("Érica e Íris", "É. Í.")])
@@ -104,7 +112,7 @@ def test_sql_functions(spark):
 
 def test_plan_has_no_shuffle(spark):
     df = spark.range(5).selectExpr("concat('a@b.co ', id) as text")
-    plan = mask(df, "text", DocOptions(nomes=True))._jdf.queryExecution().executedPlan().toString()
+    plan = mask(df, "text", DocOptions(nomes=True), NAMES)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
@@ -118,3 +126,23 @@ def test_random_phones_equal_plain_python(spark):
     got = [r.text for r in mask_phones(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()]
     want = [R.PHONE.sub(lambda m: "[TEL]" if R.is_phone(t, m.start(), m.end()) else m[0], t) for t in texts]  # noqa: B023
     assert [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+def test_names_need_a_list(spark):
+    df = spark.createDataFrame([("Dr. Ulisses Prado viu Ana Lima",)], "text string")
+    with pytest.raises(ValueError, match="first_names"):
+        mask(df, "text", DocOptions(nomes=True))
+    assert mask(df, "text", DocOptions(nomes=True), ()).first().text == "Dr. U. P. V. A. L."
+    table = spark.createDataFrame([("Ana",), ("ANA",), (" Érica ",), (None,), ("",)], "name string")
+    assert N.read_first_names(table) == ("ANA", "ERICA")
+    with pytest.raises(ValueError, match="more than 1"):
+        N.read_first_names(table, most=1)
+
+
+def test_anchor_before_an_id(spark):
+    for tail in (", portador do CPF", ", CPF nº", ", matrícula", ", SIAPE"):
+        assert one(spark, lambda t: F.array_join(N.extract_names(t, ()), "|"), f"Em 1999. Otto Reis{tail} 123") == "Otto Reis"
+
+
+def test_rg_takes_a_space_behind(spark):
+    assert masked(spark, "RG 1234 .", doc_sei=False) == "RG XXXXXX."

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velado.operators import text_mode as T
+from velado.plans.cut import Tables
 from velado.streaming.python_rules import Session
 
 
@@ -83,11 +84,49 @@ def test_numbering_across_ranges(spark):
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
     try:
-        first = spark.range(500).selectExpr("case when id < 450 then 'hot' else cast(id % 3 as string) end as scope_id", "cast(id as string) as key", "named_struct('seq', (id * 7919) % 500, 'form', 0, 'pos', 0, 'value', 'v') as first")
-        got = T._numbered(first)
+        first = spark.range(500).selectExpr("'EMAIL' as type", "case when id < 450 then 'hot' else cast(id % 3 as string) end as scope", "cast(id as string) as key", "named_struct('seq', (id * 7919) % 500, 'form', 0, 'pos', 0, 'value', 'v') as first")
+        got = T._numbered(first, Tables(spark, "t"), "ranges")
         rows = got.collect()
     finally:
         spark.conf.set(key, before)
     for scope in ("hot", "0", "1", "2"):
-        own = sorted((r.first.seq, r.ordinal) for r in rows if r.scope_id == scope)
+        own = sorted((r.first.seq, r.ordinal) for r in rows if r.scope == scope)
         assert [o for _, o in own] == list(range(1, len(own) + 1))
+
+
+def test_null_and_repeated_keys(spark):
+    """Rows of null scope, null seq or a repeated place are masked like any other, and restored."""
+    rows = [(None, 1, "a@b.co CPF 111.222.333-44"), (None, None, "z@b.co e A@B.CO"), ("s", None, "x@y.co"), ("s", 1, "w@y.co"), ("s", 1, "v@y.co, x@y.co"), ("s", 1, "v@y.co, x@y.co"), ("s", 2, None)]
+    out, vault = T.anonymize(calls(spark, rows))
+    got = sorted((r.scope_id or "", r.seq or 0, r.text or "") for r in out.collect())
+    assert got == sorted([("", 1, "[EMAIL_2] CPF [CPF_1]"), ("", 0, "[EMAIL_1] e [EMAIL_2]"), ("s", 0, "[EMAIL_1]"), ("s", 1, "[EMAIL_3]"), ("s", 1, "[EMAIL_2], [EMAIL_1]"), ("s", 1, "[EMAIL_2], [EMAIL_1]"), ("s", 2, "")])
+    assert {(r.scope_id, r.marker): r.original for r in vault.filter("scope_id is null").collect()} == {(None, "[EMAIL_1]"): "z@b.co", (None, "[EMAIL_2]"): "A@B.CO", (None, "[CPF_1]"): "111.222.333-44"}
+    back = sorted((r.scope_id or "", r.seq or 0, (r.text or "").lower()) for r in T.restore(out, vault).collect())
+    assert back == sorted((s or "", q or 0, (t or "").lower()) for s, q, t in rows)
+    assert {(r.scope_id, r.found) for r in T.has_personal_data(calls(spark, [*rows, ("q", 1, "nada")]), vault).collect()} == {(None, True), ("s", True), ("q", False)}
+
+
+def test_clashing_columns_stay(spark):
+    names = ["_gaps", "_hits", "_values", "_m0", "_text", "row", "scope", "marks", "c0", "m0", "values", "marker"]
+    df = spark.createDataFrame([("s", 1, "a@b.co", *names)], "scope_id string, seq long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out, vault = T.anonymize(df)
+    assert out.columns == df.columns and tuple(out.first()) == ("s", 1, "[EMAIL_1]", *names)
+    back = T.restore(out, vault)
+    assert back.columns == df.columns and tuple(back.first()) == ("s", 1, "a@b.co", *names)
+
+
+def test_numbering_goes_on_from_a_vault(spark):
+    _, vault = T.anonymize(calls(spark, [("s", 1, "a@b.co c@d.co"), (None, 1, "n@b.co")]))
+    out, both = T.anonymize(calls(spark, [("s", 1, "e@f.co C@D.CO (61) 3211-1234"), (None, 1, "m@b.co"), ("t", 1, "a@b.co")]), known=vault)
+    assert {(r.scope_id, r.text) for r in out.collect()} == {("s", "[EMAIL_3] [EMAIL_2] [TELEFONE_1]"), (None, "[EMAIL_2]"), ("t", "[EMAIL_1]")}
+    assert sorted((r.scope_id or "", r.marker, r.original) for r in both.collect()) == [("", "[EMAIL_1]", "n@b.co"), ("", "[EMAIL_2]", "m@b.co"), ("s", "[EMAIL_1]", "a@b.co"), ("s", "[EMAIL_2]", "c@d.co"), ("s", "[EMAIL_3]", "e@f.co"), ("s", "[TELEFONE_1]", "(61) 3211-1234"), ("t", "[EMAIL_1]", "a@b.co")]
+
+
+def test_rg_takes_a_space_behind(spark):
+    texts, vault = run(spark, [("a", 1, "RG 1234 .")])
+    assert texts["a", 1] == "RG [RG_1]." and vault["a", "[RG_1]"] == "1234 "
+
+
+def test_texts_without_hits_are_not_shuffled(spark):
+    out, _ = T.anonymize(calls(spark, [("a", k, f"nada {k}") for k in range(20)]))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,15 +79,26 @@ def has_any(normalized: Column, values: tuple[str, ...]) -> Column:
     return F.arrays_overlap(words(normalized), F.array(*(F.lit(v) for v in values)))
 
 
-def is_name(x: Column, first_names: Column | None = None) -> Column:
-    """Whether a candidate looks like a person's name: two words, nothing protected or institutional, a known first name.
+def known_first(normalized: Column, first_names: Column | Iterable[str]) -> Column:
+    """Whether a normalized word is among the first names: an array column of normalized names, or names as anyone writes them.
 
-    first_names: an array column; the whole list of gazetteer.py if not given.
+    Names from Python become one hash set of the plan.
     """
+    if isinstance(first_names, Column):
+        return F.array_contains(first_names, normalized)
+    return normalized.isin(*sorted({bare_upper(n) for n in first_names} - {""}))
+
+
+def bare_upper(x: str | None) -> str:
+    """normalize_text of one Python string."""
+    return "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).upper().strip()
+
+
+def is_name(x: Column, first_names: Column | Iterable[str]) -> Column:
+    """Whether a candidate looks like a person's name: two words, nothing protected or institutional, a known first name."""
     bare = F.array_join(words(x), " ")
     n = normalize_text(bare)
-    first = normalize_text(F.get(words(x), 0))
-    known = first.isin(*G.FIRST_NAMES) if first_names is None else F.array_contains(first_names, first)
+    known = known_first(normalize_text(F.get(words(x), 0)), first_names)
     return F.coalesce((F.size(words(x)) >= 2) & (F.length(bare) > 4) & ~n.isin(*G.PROTECTED) & ~has_any(n, G.INSTITUTIONAL) & known, F.lit(False))
 
 

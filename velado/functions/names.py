@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gazetteer as G
@@ -11,8 +13,23 @@ from .canonical import clean_prefixes, has_any, initials, is_name, normalize_tex
 from .segments import hits
 
 
-def extract_names(text: Column, first_names: Column | None = None, more: Column | None = None) -> Column:
-    """A sorted array of distinct names. `more`: candidates of a model, as an array (cleaned like the anchors')."""
+def read_first_names(df: DataFrame, column: str = "name", most: int = 500_000) -> tuple[str, ...]:
+    """Distinct first names of a table (a census list, say), normalized and sorted, to pass on as `first_names`.
+
+    They become part of the plans that use them, so a table of more than `most` is refused rather than cut.
+    """
+    found = [r.n for r in df.select(normalize_text(F.col(column)).alias("n")).filter("n != ''").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} first names; is this a list of first names?")
+    return tuple(sorted(found))
+
+
+def extract_names(text: Column, first_names: Column | Iterable[str], more: Column | None = None) -> Column:
+    """A sorted array of distinct names.
+
+    first_names: what a name found by its shape alone must begin with, an array column or strings; () leaves the names
+    that a phrase anchors. `more`: candidates of a model, as an array (cleaned like the anchors').
+    """
     anchored = [hits(text, p, 1) for p in P.ANCHORS] + ([more] if more is not None else [])
     cleaned = F.filter(F.transform(F.flatten(F.array(*anchored)), clean_prefixes), lambda n: (F.size(words(n)) >= 2) & (F.length(n) > 4))
     shaped = F.transform(F.concat(hits(text, P.NAME_CAPS), hits(text, P.NAME_TITLE)), lambda n: F.array_join(words(n), " "))

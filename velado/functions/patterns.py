@@ -14,11 +14,11 @@ EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?U)(?:\+55\s*)?(?:\(?\d{2}\)?\s*)?(?:9\d{4}|\d{4})[-\s]\d{4}\b"
 CPF = r"(?U)\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"
 CPF_BARE = r"(?U)(?iU:\bCPF\b\s*(?:n[º°.]?|:\s*)?)\s*(\b\d{11}\b)"
-RG = r"(?U)(?iU:\b(?:RG|Identidade)\b\s*(?:n[º°.]?|:\s*)?)\s*([0-9A-Za-z.-]+(?:\s[0-9A-Za-z]+)?)"
+RG = r"(?U)(?iU:\b(?:RG|Identidade)\b\s*(?:n[º°.]?|:\s*)?)\s*([0-9A-Za-z.-]+\s?[0-9A-Za-z]*)"
 # The same, cut into what stays and what goes.
 CPF_PARTS = r"(?U)\b\d{3}\.(\d{3})\.(\d{3})-\d{2}\b"
 CPF_BARE_PARTS = r"(?U)((?iU:\bCPF\b\s*(?:n[º°.]?|:\s*)?)\s*)\b\d{3}(\d{3})(\d{3})\d{2}\b"
-RG_PARTS = r"(?U)((?iU:\b(?:RG|Identidade)\b\s*(?:n[º°.]?|:\s*)?)\s*)([0-9A-Za-z.-]+(?:\s[0-9A-Za-z]+)?)"
+RG_PARTS = r"(?U)((?iU:\b(?:RG|Identidade)\b\s*(?:n[º°.]?|:\s*)?)\s*)([0-9A-Za-z.-]+\s?[0-9A-Za-z]*)"
 ISSUE_DATE = r"(?iU)(Data de Expedição:)\s*(\d{2}/\d{2}/\d{4})"
 SEVEN_DIGITS = r"(?U)\b\d{5}(\d{2})\b"
 CRC = r"(?iU)\b[0-9A-F]{8}\b"

@@ -37,11 +37,23 @@ def after(gaps_: Column, hits_: Column, i: Column, n: int, ahead: int) -> Column
     return F.left(F.concat(F.get(gaps_, i + 1), F.array_join(later, "")), F.lit(n))
 
 
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like these that df does not have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def rewrite(df: DataFrame, column: str, pattern: str, piece: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
     """df with each hit in its text column replaced by piece(hit, index, gaps, hits).
 
     Gaps and hits are columns of their own meanwhile, so that each is computed once.
     """
-    cut = df.withColumn("_gaps", gaps(F.col(column), pattern)).withColumn("_hits", hits(F.col(column), pattern))
-    pieces = F.transform(F.col("_hits"), lambda x, i: piece(x, i, F.col("_gaps"), F.col("_hits")))
-    return cut.withColumn(column, F.when(F.size("_hits") > 0, joined(F.col("_gaps"), pieces)).otherwise(F.col(column))).drop("_gaps", "_hits")
+    g, h = spare(df, "_gaps", "_hits")
+    cut = df.withColumn(g, gaps(F.col(column), pattern)).withColumn(h, hits(F.col(column), pattern))
+    pieces = F.transform(F.col(h), lambda x, i: piece(x, i, F.col(g), F.col(h)))
+    return cut.withColumn(column, F.when(F.size(h) > 0, joined(F.col(g), pieces)).otherwise(F.col(column))).drop(g, h)

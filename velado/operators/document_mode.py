@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.names import extract_names, replace_names
 from ..functions.phone import is_phone
-from ..functions.segments import rewrite
+from ..functions.segments import rewrite, spare
 
 
 @dataclass(frozen=True)
@@ -77,23 +78,29 @@ def mask_crcs(text: Column) -> Column:
     return F.regexp_replace(text, P.CRC, "XXXXXXXX")
 
 
-def mask(df: DataFrame, text_col: str = "text", options: DocOptions = DocOptions(), first_names: Column | None = None) -> DataFrame:
+def mask(df: DataFrame, text_col: str = "text", options: DocOptions = DocOptions(), first_names: Column | Iterable[str] | None = None) -> DataFrame:
     """df with its text column masked: terms, names, e-mails, telephones, CPFs, RGs and issue dates, seven-digit numbers and
-    codes, in this order, each on what the one before left. Null stays null, blank texts stay as they are.
+    codes, in this order, each on what the one before left. Null stays null, blank texts stay as they are, and so do all
+    other columns, whatever their names.
 
-    Each step is a column, not one nested expression, which would repeat what it uses more than once. No shuffle.
+    first_names must be given where `nomes` is set: names found by shape alone begin with one of them; () leaves the names
+    that a phrase anchors. Each step is a column, not one nested expression, which would repeat what it uses more than once.
+    No shuffle.
     """
-    out = df.withColumn("_text", remove_terms(df[text_col], options.termos_customizados))
-    text = F.col("_text")
+    own, found = spare(df, "_text", "_names")
+    out = df.withColumn(own, remove_terms(df[text_col], options.termos_customizados))
+    text = F.col(own)
     if options.nomes:
-        out = out.withColumn("_names", extract_names(text, first_names)).withColumn("_text", replace_names(text, F.col("_names"), options.modo_nomes)).drop("_names")
+        if first_names is None:
+            raise ValueError("masking names needs first_names; () masks only those that a phrase anchors")
+        out = out.withColumn(found, extract_names(text, first_names)).withColumn(own, replace_names(text, F.col(found), options.modo_nomes)).drop(found)
     if options.email_tel:
-        out = mask_phones(out.withColumn("_text", mask_emails(text)), "_text")
+        out = mask_phones(out.withColumn(own, mask_emails(text)), own)
     if options.cpf:
-        out = out.withColumn("_text", mask_cpfs(text))
+        out = out.withColumn(own, mask_cpfs(text))
     if options.rg:
-        out = out.withColumn("_text", mask_issue_dates(mask_rgs(text)))
+        out = out.withColumn(own, mask_issue_dates(mask_rgs(text)))
     if options.doc_sei:
-        out = out.withColumn("_text", mask_crcs(mask_sei_numbers(text)))
+        out = out.withColumn(own, mask_crcs(mask_sei_numbers(text)))
     blank = F.col(text_col).rlike(r"(?U)^\s*$")
-    return out.withColumn(text_col, F.when(blank, F.col(text_col)).otherwise(text)).drop("_text")
+    return out.withColumn(text_col, F.when(blank, F.col(text_col)).otherwise(text)).drop(own)

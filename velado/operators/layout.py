@@ -4,15 +4,26 @@ pages (doc_id, page, width, height); words (doc_id, page, line_no, word_no, x0,
 reading order. A page's text is its words with spaces between and a line feed between lines. Boxes come out as
 (doc_id, page, x0, y0, x1, y1, tipo, rotulo, fill); a caller may add rows of their own (tipo "manual") before applying.
 Rules see the page's original text, unlike those of whole texts, which see what the rule before left.
+
+Words meet their page in one shuffle; then everything of a page happens within its row: all rules' values, their places,
+the lines that each touches, and the position gates. A value that a rule finds is covered wherever the page has it, with or
+without the context that gave it away, despite spaces between letters, line breaks and hyphens: a box for each line that an
+occurrence touches, whole words. As the words are where the text comes from, every occurrence has its words, and there is
+nothing to fall back to.
+
+Nulls and edges: a word of null text is empty; null ids are one document; a page without words gets its side bar only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.canonical import initials, mask_cpf, mask_seven_digits
+from ..functions.gazetteer import METADATA_STOPWORDS
 from ..functions.names import extract_names
 from ..functions.phone import is_phone
 from ..functions.segments import gaps, hits
@@ -22,117 +33,171 @@ from .document_mode import DocOptions, mask
 SIGNED = "Documento assinado eletronicamente por"
 AUTHENTIC = "A autenticidade do documento pode ser conferida no site"
 BOX = ["doc_id", "page", "x0", "y0", "x1", "y1", "tipo", "rotulo", "fill"]
+_WANTED = "array<struct<tipo: string, term: string, rotulo: string, fill: array<double>>>"
 
 
 def page_texts(words: DataFrame) -> DataFrame:
     """(doc_id, page, words, text): words as an array with their places in the text. A page is one row, not a document."""
-    w = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "word_no", "x0", "y0", "x1", "y1", F.col("text").alias("word")))).alias("w"))
-    sep = F.transform(F.col("w"), lambda x, i: F.when(i == 0, "").when(F.get(F.col("w"), i - 1)["line_no"] == x["line_no"], " ").otherwise("\n"))
-    w = w.withColumn("sep", sep)
-    begin = F.aggregate(
-        F.sequence(F.lit(0), F.size("w") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
-        lambda acc, i: F.struct((acc["at"] + F.length(F.get(F.col("sep"), i)) + F.length(F.get(F.col("w"), i)["word"])).alias("at"), F.array_append(acc["begins"], acc["at"] + F.length(F.get(F.col("sep"), i))).alias("begins")),
-    )["begins"]
-    w = w.withColumn("begins", begin).withColumn("text", F.array_join(F.zip_with("sep", F.transform("w", lambda x: x["word"]), lambda a, b: F.concat(a, b)), ""))
-    placed = F.zip_with("w", "begins", lambda x, b: F.struct(x["line_no"].alias("line_no"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), b.alias("begin"), (b + F.length(x["word"])).alias("end")))
-    return w.select("doc_id", "page", placed.alias("words"), "text")
-
-
-def places(texts: DataFrame, pattern: str, group: int, tipo: str, rotulo, fill: list[float] | None = None, keep=None) -> DataFrame:
-    """A box for each line that a hit touches. rotulo: hit -> label; keep: (hit, i, gaps, hits) -> whether it counts."""
-    cut = texts.withColumn("g", gaps(F.col("text"), pattern)).withColumn("h", hits(F.col("text"), pattern)).withColumn("v", hits(F.col("text"), pattern, group))
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size("h") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, i: F.struct((acc["at"] + F.length(F.get(F.col("g"), i)) + F.length(F.get(F.col("h"), i))).alias("at"), F.array_append(acc["ends"], acc["at"] + F.length(F.get(F.col("g"), i)) + F.length(F.get(F.col("h"), i))).alias("ends")),
-    )["ends"]
-    found = cut.filter(F.size("h") > 0).withColumn("ends", ends)
-    one = F.transform(F.col("v"), lambda v, i: F.struct(v.alias("term"), F.get(F.col("ends"), i).alias("end"), (keep(v, i, F.col("g"), F.col("h")) if keep else F.lit(True)).alias("kept")))
-    found = found.select("doc_id", "page", "words", F.explode(one).alias("hit")).filter("hit.kept and hit.term != ''")
-    touched = F.filter("words", lambda w: (w["begin"] < F.col("hit.end")) & (w["end"] > F.col("hit.end") - F.length("hit.term")))
-    found = found.select("doc_id", "page", "hit", F.explode(touched).alias("w"))
-    box = found.groupBy("doc_id", "page", "hit", "w.line_no").agg(*(f(f"w.{c}").alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))))
-    return box.select("doc_id", "page", "x0", "y0", "x1", "y1", F.lit(tipo).alias("tipo"), rotulo(F.col("hit.term")).alias("rotulo"), _fill(fill), F.col("hit.term").alias("term"))
-
-
-def _fill(rgb: list[float] | None) -> Column:
+    order = Window.partitionBy("doc_id", "page").orderBy("line_no", "word_no", "x0", "y0", "x1", "y1", "text")
+    w = words.select("doc_id", "page", "line_no", "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("word"), F.row_number().over(order).alias("n"), F.lag("line_no").over(order).alias("above"))
+    w = w.withColumn("sep", F.when(F.col("n") == 1, "").when(F.col("above").eqNullSafe(F.col("line_no")), " ").otherwise("\n"))
+    upto = Window.partitionBy("doc_id", "page").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = w.withColumn("end", F.sum(F.length("sep") + F.length("word")).over(upto).cast("int"))
+    w = w.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", "line_no", "x0", "y0", "x1", "y1", (F.col("end") - F.length("word")).alias("begin"), "end", "sep", "word"))).alias("w"))
+    placed = F.transform("w", lambda x: F.struct(*(x[c].alias(c) for c in ("line_no", "x0", "y0", "x1", "y1", "begin", "end"))))
+    return w.select("doc_id", "page", placed.alias("words"), F.array_join(F.transform("w", lambda x: F.concat(x["sep"], x["word"])), "").alias("text"))
+
+
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often use names it."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
+def _spans(text: Column, pattern: Column) -> Column:
+    """An array of (begin, end) of a pattern's matches."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin: int, end: int>>").alias("found"))
+
+    def add(acc: Column, x: Column) -> Column:
+        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
+        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(begin.alias("begin"), end.alias("end"))).alias("found"))
+
+    def of(cut: Column) -> Column:
+        return F.aggregate(F.transform(cut["hits"], lambda h, i: F.struct(F.length(F.get(cut["gaps"], i)).alias("gap"), F.length(h).alias("hit"))), none, add)["found"]
+
+    return _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), of)
+
+
+def _lines(begin: Column, end: Column) -> Column:
+    """An array of boxes (x0, y0, x1, y1): of each line, around the words that a span touches."""
+
+    def of(touched: Column) -> Column:
+        def line(n: Column) -> Column:
+            return _once(F.filter(touched, lambda w: w["line_no"].eqNullSafe(n)), lambda own: F.struct(*(f(F.transform(own, lambda w: w[c])).alias(c) for c, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)))))  # noqa: B023
+
+        return F.transform(F.array_distinct(F.transform(touched, lambda w: w["line_no"])), line)
+
+    return _once(F.filter("words", lambda w: (w["begin"] < end) & (w["end"] > begin)), of)
+
+
+def _places(pattern: Column) -> Column:
+    """The boxes of all matches of a pattern in a row of page_texts."""
+    return F.flatten(F.transform(_spans(F.col("text"), pattern), lambda s: _lines(s["begin"], s["end"])))
+
+
+def _fill(rgb: Iterable[float] | None) -> Column:
     return (F.array(*(F.lit(float(x)) for x in rgb)) if rgb is not None else F.lit(None).cast("array<double>")).alias("fill")
 
 
-def phrase_places(texts: DataFrame, phrase: str) -> DataFrame:
-    return places(texts, P.tolerant(phrase), 0, "", lambda t: F.lit("")).select("doc_id", "page", "x0", "y0", "x1", "y1")
+class Rule:
+    """Values that a pattern finds on a page, or that stand in a column, and how their boxes look.
+
+    keep: (hit, i, gaps, hits) -> whether it counts; gate: box -> whether it lies where such values are covered.
+    """
+
+    def __init__(self, tipo: str, pattern: str, group: int = 0, label: Callable[[Column], Column] | str = "", fill: Iterable[float] | None = None, keep: Callable | None = None):
+        self.tipo, self.pattern, self.group, self.fill, self.keep = tipo, pattern, group, fill, keep
+        self.label = label if callable(label) else lambda _: F.lit(label)
+
+    def values(self, texts: DataFrame, at: str) -> DataFrame:
+        """texts with a column `at` of this rule's (tipo, term, rotulo, fill), each term once."""
+        if self.keep is None:
+            terms = hits(F.col("text"), self.pattern, self.group)
+        else:
+            texts = texts.withColumn(f"{at}_g", gaps(F.col("text"), self.pattern)).withColumn(f"{at}_h", hits(F.col("text"), self.pattern))
+            g, h = F.col(f"{at}_g"), F.col(f"{at}_h")
+            terms = F.transform(h, lambda x, i: F.when(self.keep(x, i, g, h), x))
+        return texts.withColumn(at, self.wanted(terms)).drop(f"{at}_g", f"{at}_h")
+
+    def wanted(self, terms: Column) -> Column:
+        own = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != ""))
+        return F.transform(own, lambda t: F.struct(F.lit(self.tipo).alias("tipo"), t.alias("term"), self.label(t).alias("rotulo"), _fill(self.fill))).cast(_WANTED)
+
+
+EMAIL_RULE, PHONE_RULE = Rule("email", P.EMAIL, 0, "[E-MAIL]"), Rule("telefone", P.PHONE, 0, "[TEL]", keep=is_phone)
+CPF_RULES = (Rule("cpf", P.CPF, 0, mask_cpf), Rule("cpf", P.CPF_BARE, 1, mask_cpf))
+RG_RULES = (Rule("rg", P.RG, 1, "RG: XXXXXX"), Rule("data_exp", P.ISSUE_DATE, 0, "Data de Expedição: XX/XX/XXXX"))
+SEI_RULE, CRC_RULE = Rule("doc_sei", r"(?U)\b\d{7}\b", 0, mask_seven_digits), Rule("crc_sei", P.CRC, 0, "XXXXXXXX", (0, 0, 0))
+
+
+def _boxed(texts: DataFrame, rules: Iterable[Rule], more: Iterable[Column] = ()) -> DataFrame:
+    """texts with `boxes`: (x0, y0, x1, y1, tipo, rotulo, fill, term) of every rule's values and of `more` (arrays of wanted
+    terms), wherever the page has them, less those outside their gates."""
+    names = []
+    for k, rule in enumerate(rules):
+        texts = rule.values(texts, f"rule{k}")
+        names.append(f"rule{k}")
+    phrases = {"signed": P.tolerant(SIGNED), "authentic": P.tolerant(AUTHENTIC)}
+    for name, phrase in phrases.items():
+        texts = texts.withColumn(name, F.when(F.col("text").rlike(phrase), _places(F.lit(phrase))).otherwise(F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")))
+    height = F.col("height") if "height" in texts.columns else F.lit(None).cast("double")
+    top = lambda c: F.array_min(F.transform(c, lambda b: b["y0"]))
+    texts = texts.withColumn("sei_cut", F.coalesce(top("signed"), height * 0.85)).withColumn("crc_cut", top("authentic"))
+    wanted = F.concat(F.array().cast(_WANTED), *(F.col(n) for n in names), *more)
+
+    def of(w: Column) -> Column:
+        gate = lambda b: F.coalesce(F.when(w["tipo"] == SEI_RULE.tipo, b["y0"] > F.col("sei_cut")).when(w["tipo"] == CRC_RULE.tipo, b["y0"] >= F.col("crc_cut")).otherwise(True), F.lit(False))
+        return F.transform(F.filter(_places(P.tolerant_col(w["term"])), gate), lambda b: F.struct(*(b[c].alias(c) for c in ("x0", "y0", "x1", "y1")), w["tipo"].alias("tipo"), w["rotulo"].alias("rotulo"), w["fill"].alias("fill"), w["term"].alias("term")))
+
+    return texts.withColumn("wanted", wanted).drop(*names).withColumn("boxes", F.array_distinct(F.flatten(F.transform("wanted", of))))
+
+
+def _of(boxed: DataFrame) -> DataFrame:
+    """A row a box, each once."""
+    bare = F.array_distinct(F.transform("boxes", lambda b: F.struct(*(b[c].alias(c) for c in BOX[2:]))))
+    return boxed.select("doc_id", "page", F.explode(bare).alias("b")).select("doc_id", "page", "b.*")
 
 
 def side_bars(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", (F.col("width") - 25).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"), F.lit("barra_sei").alias("tipo"), F.lit("Barra Lateral SEI").alias("rotulo"), _fill([0, 0, 0]))
 
 
-def qr_boxes(texts: DataFrame) -> DataFrame:
-    a = phrase_places(texts, AUTHENTIC)
+def _qr(boxed: DataFrame) -> DataFrame:
+    a = boxed.select("doc_id", "page", F.explode(F.array_distinct("authentic")).alias("a")).select("doc_id", "page", "a.*")
     return a.select("doc_id", "page", (F.col("x0") - 60).alias("x0"), (F.col("y0") - 10).alias("y0"), F.col("x0").alias("x1"), (F.col("y1") + 40).alias("y1"), F.lit("qr_code").alias("tipo"), F.lit("QR Code SEI").alias("rotulo"), _fill([1, 1, 1]))
 
 
+def qr_boxes(texts: DataFrame) -> DataFrame:
+    return _qr(_boxed(texts, ()))
+
+
+def with_height(texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """texts with the height of their pages; of a page given twice, the greatest."""
+    p = pages.groupBy(F.col("doc_id").alias("p_doc"), F.col("page").alias("p_page")).agg(F.max("height").alias("height"))
+    return texts.join(p, F.col("doc_id").eqNullSafe(F.col("p_doc")) & F.col("page").eqNullSafe(F.col("p_page")), "left").drop("p_doc", "p_page")
+
+
 def sei_numbers(texts: DataFrame, pages: DataFrame) -> DataFrame:
     """Seven-digit numbers below the signature line, or in the last 15 % of a page without one."""
-    line = phrase_places(texts, SIGNED).groupBy("doc_id", "page").agg(F.min("y0").alias("cut"))
-    found = places(texts, r"(?U)\b\d{7}\b", 0, "doc_sei", mask_seven_digits)
-    gate = pages.select("doc_id", "page", "height").join(line, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("cut", F.col("height") * 0.85).alias("cut"))
-    return found.join(gate, ["doc_id", "page"]).filter("y0 > cut").drop("cut")
+    return _of(_boxed(with_height(texts, pages), (SEI_RULE,)))
 
 
 def crc_codes(texts: DataFrame) -> DataFrame:
     """Codes level with or below the authenticity phrase."""
-    line = phrase_places(texts, AUTHENTIC).groupBy("doc_id", "page").agg(F.min("y0").alias("cut"))
-    return places(texts, P.CRC, 0, "crc_sei", lambda t: F.lit("XXXXXXXX"), [0, 0, 0]).join(line, ["doc_id", "page"]).filter("y0 >= cut").drop("cut")
+    return _of(_boxed(texts, (CRC_RULE,)))
 
 
-def plan(pages: DataFrame, words: DataFrame, options: DocOptions = DocOptions()) -> tuple[DataFrame, DataFrame]:
-    """(boxes, terms): every rule's boxes, each once, and the terms found, by document."""
+def plan(pages: DataFrame, words: DataFrame, options: DocOptions = DocOptions(), first_names: Column | Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(boxes, terms): every rule's boxes, each once, and the terms found, by document. first_names as in document_mode.mask."""
+    rules = [EMAIL_RULE, PHONE_RULE] * options.email_tel + [*CPF_RULES] * options.cpf + [*RG_RULES] * options.rg + [SEI_RULE, CRC_RULE] * options.doc_sei
+    custom = tuple(t for t in options.termos_customizados if P.tolerant(t))
+    more = [F.array(*(F.struct(F.lit("custom").alias("tipo"), F.lit(t).alias("term"), F.lit("[REMOVIDO]").alias("rotulo"), _fill(None)) for t in custom)).cast(_WANTED)] if custom else []
     texts = page_texts(words)
-    parts = []
-    if options.email_tel:
-        parts += [places(texts, P.EMAIL, 0, "email", lambda t: F.lit("[E-MAIL]")), places(texts, P.PHONE, 0, "telefone", lambda t: F.lit("[TEL]"), keep=is_phone)]
-    if options.cpf:
-        parts += [places(texts, P.CPF, 0, "cpf", mask_cpf), places(texts, P.CPF_BARE, 1, "cpf", mask_cpf)]
-    if options.rg:
-        parts += [places(texts, P.RG, 1, "rg", lambda t: F.lit("RG: XXXXXX")), places(texts, P.ISSUE_DATE, 0, "data_exp", lambda t: F.lit("Data de Expedição: XX/XX/XXXX"))]
     if options.doc_sei:
-        parts += [sei_numbers(texts, pages), crc_codes(texts)]
-    for term in options.termos_customizados:
-        if pattern := P.tolerant(term):
-            parts.append(places(texts, pattern, 0, "custom", lambda t: F.lit("[REMOVIDO]")).withColumn("term", F.lit(term)))
+        texts = with_height(texts, pages)
     if options.nomes:
-        parts.append(name_boxes(texts, options.modo_nomes))
-    boxes = [p.select(*BOX, "term") for p in parts]
+        if first_names is None:
+            raise ValueError("names need first_names; () takes only those that a phrase anchors")
+        label = initials if options.modo_nomes == "iniciais" else "[NOME]"
+        texts = texts.withColumn("names", extract_names(F.col("text"), first_names))
+        more.append(Rule("nome", "", 0, label).wanted(F.col("names")))
+    boxed = _boxed(texts, rules, more)
+    boxes = _of(boxed)
     if options.qr_code:
-        boxes += [b.withColumn("term", F.lit(None).cast("string")).select(*BOX, "term") for b in (side_bars(pages), qr_boxes(texts))]
-    if not boxes:
-        none = side_bars(pages).withColumn("term", F.lit(None).cast("string")).filter("false")
-        boxes = [none.select(*BOX, "term")]
-    all_ = boxes[0]
-    for b in boxes[1:]:
-        all_ = all_.unionByName(b)
-    custom = [t for t in options.termos_customizados if t]
-    terms = all_.filter("term is not null").select("doc_id", "term").distinct()
+        boxes = boxes.unionByName(side_bars(pages).distinct()).unionByName(_qr(boxed))
+    terms = boxed.select("doc_id", F.explode(F.array_distinct(F.transform("boxes", lambda b: b["term"]))).alias("term"))
     if custom:
-        terms = terms.unionByName(pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(F.lit(t) for t in custom))).alias("term"))).distinct()
-    return all_.drop("term").dropDuplicates(), terms
-
-
-def name_boxes(texts: DataFrame, mode: str) -> DataFrame:
-    """Names differ by page, so a hit is found by a pattern from a column: the first occurrence of each name on a page."""
-    named = texts.select("doc_id", "page", "words", "text", F.explode(extract_names(F.col("text"))).alias("term"))
-    named = named.withColumn("hit", F.regexp_extract_all("text", P.tolerant_col(F.col("term")), F.lit(0)))
-    named = named.select("doc_id", "page", "words", "text", "term", F.explode(F.array_distinct("hit")).alias("hit"))
-    step = F.length("hit")
-    places_ = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - step + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, step) == F.col("hit"))
-    named = named.select("doc_id", "page", "words", "term", "hit", F.explode(places_).alias("at"))
-    touched = F.filter("words", lambda w: (w["begin"] < F.col("at") - 1 + F.length("hit")) & (w["end"] > F.col("at") - 1))
-    found = named.select("doc_id", "page", "term", "at", F.explode(touched).alias("w"))
-    box = found.groupBy("doc_id", "page", "term", "at", "w.line_no").agg(*(f(f"w.{c}").alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))))
-    label = initials(F.col("term")) if mode == "iniciais" else F.lit("[NOME]")
-    return box.select("doc_id", "page", "x0", "y0", "x1", "y1", F.lit("nome").alias("tipo"), label.alias("rotulo"), _fill(None), "term")
+        terms = terms.unionByName(pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(F.lit(t) for t in custom))).alias("term")))
+    return boxes, terms.distinct()
 
 
 def redactions(boxes: DataFrame, mode: str = "tarja_preta") -> DataFrame:
@@ -146,27 +211,47 @@ def redactions(boxes: DataFrame, mode: str = "tarja_preta") -> DataFrame:
 
 def kept_annotations(annots: DataFrame, boxes: DataFrame, terms: DataFrame) -> DataFrame:
     """Annotations that touch no box and mention no term of three letters or more. Errors are raised, not passed over."""
-    b = boxes.select(F.col("doc_id").alias("b_doc"), F.col("page").alias("b_page"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
-    touch = (annots.doc_id == F.col("b_doc")) & (annots.page == F.col("b_page")) & (F.greatest(annots.x0, F.col("b_x0")) < F.least(annots.x1, F.col("b_x1"))) & (F.greatest(annots.y0, F.col("b_y0")) < F.least(annots.y1, F.col("b_y1")))
-    said = F.lower(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("subject", F.lit(""))))
-    t = terms.filter(F.length("term") >= 3).select(F.col("doc_id").alias("t_doc"), F.lower("term").alias("t"))
-    return annots.join(b, touch, "left_anti").join(t, (F.col("doc_id") == F.col("t_doc")) & said.contains(F.col("t")), "left_anti")
-
-
-def scrubbed_metadata(metadata: DataFrame, terms: DataFrame, options: DocOptions = DocOptions()) -> DataFrame:
+    b = boxes.select(*(F.col(c).alias(f"b_{c}") for c in ("doc_id", "page", "x0", "y0", "x1", "y1")))
+    a = lambda c: annots[c]
+    touch = a("doc_id").eqNullSafe(b.b_doc_id) & a("page").eqNullSafe(b.b_page) & (F.greatest(a("x0"), b.b_x0) < F.least(a("x1"), b.b_x1)) & (F.greatest(a("y0"), b.b_y0) < F.least(a("y1"), b.b_y1))
+    said = F.lower(F.concat_ws(" ", *(F.coalesce(a(c), F.lit("")) for c in ("content", "title", "subject"))))
+    t = terms.filter(F.length("term") >= 3).select(F.col("doc_id").alias("t_doc"), F.lower("term").alias("t_term"))
+    return annots.join(b, touch, "left_anti").join(t, a("doc_id").eqNullSafe(t.t_doc) & said.contains(t.t_term), "left_anti")
+
+
+def kept_links(links: DataFrame, options: DocOptions = DocOptions()) -> DataFrame:
+    """links (doc_id, page, ...): none where the option removes them, all otherwise."""
+    return links.filter(F.lit(not options.links))
+
+
+def image_cuts(images: DataFrame, boxes: DataFrame, options: DocOptions = DocOptions()) -> DataFrame:
+    """images (doc_id, page, x0, y0, x1, y1, ...) with `cuts`: the parts of each that a writer blanks, an array of boxes in
+    page coordinates. Pixels go under every box if the options say so for images or for QR codes, else none does."""
+    pick = ("x0", "y0", "x1", "y1")
+    own = images.toDF(*(f"c{k}" for k in range(len(images.columns))))
+    i = {c: F.col(f"c{images.columns.index(c)}") for c in ("doc_id", "page", *pick)}
+    none = F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    if not (options.redigir_imagens or options.qr_code):
+        return own.withColumn("cuts", none).toDF(*images.columns, "cuts")
+    page_boxes = boxes.groupBy(F.col("doc_id").alias("b_doc"), F.col("page").alias("b_page")).agg(F.array_sort(F.collect_set(F.struct(*(F.col(c).cast("double").alias(c) for c in pick)))).alias("b"))
+    met = own.join(page_boxes, i["doc_id"].eqNullSafe(F.col("b_doc")) & i["page"].eqNullSafe(F.col("b_page")), "left")
+    part = F.transform("b", lambda b: F.struct(*(f(b[c], i[c].cast("double")).alias(c) for c, f in zip(pick, (F.greatest, F.greatest, F.least, F.least), strict=True))))
+    cuts = F.coalesce(F.filter(part, lambda p: (p["x0"] < p["x1"]) & (p["y0"] < p["y1"])), none)
+    return met.select(*own.columns, cuts.alias("cuts")).toDF(*images.columns, "cuts")
+
+
+def scrubbed_metadata(metadata: DataFrame, terms: DataFrame, options: DocOptions = DocOptions(), first_names: Column | Iterable[str] | None = None) -> DataFrame:
     """metadata (doc_id, meta map): no author; title, subject, keywords and creator masked and rid of sensitive words.
 
     A document's sensitive words are its terms and their words, of three letters or more; null values go.
     """
-    from ..functions.gazetteer import METADATA_STOPWORDS
-
     own = terms.select("doc_id", F.trim("term").alias("term"))
     parts = own.select("doc_id", F.explode(F.transform(F.split("term", r"(?U)\s+"), lambda w: F.trim(w, F.lit(".,;:\"'()[]{}")))).alias("w")).filter((F.length("w") >= 3) & ~F.upper("w").isin(*METADATA_STOPWORDS))
     words = own.filter(F.length("term") >= 3).select("doc_id", F.lower("term").alias("w")).unionByName(parts.select("doc_id", F.lower("w").alias("w"))).groupBy("doc_id").agg(F.collect_set("w").alias("_w"))
     entry = metadata.select("doc_id", F.explode("meta").alias("k", "text")).filter("text is not null")
     masked = entry.filter(F.col("k").isin("title", "subject", "keywords", "creator"))
     rest = entry.filter(~F.col("k").isin("title", "subject", "keywords", "creator")).withColumn("text", F.when(F.col("k") == "author", "").otherwise(F.col("text")))
-    masked = mask(masked, "text", options).join(words, "doc_id", "left")
+    masked = mask(masked, "text", options, first_names).join(words, "doc_id", "left")
     longest = F.array_sort(F.coalesce("_w", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a))
     without = F.aggregate(longest, F.col("text"), lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"(?iU)\b"), F.regexp_replace(w, r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b")), F.lit("")))
     masked = masked.withColumn("text", F.trim(F.regexp_replace(without, r"(?U)[\s,;]+", " "), F.lit(" ,;"))).drop("_w")

@@ -160,6 +160,8 @@ def custom_terms_tolerant(spark, sf_dir):
 
 
 # Names ---------------------------------------------------------------------------------------------------------------
+#: First names as a caller passes them.
+FIRST = ("Ana", "Antônio", "Carlos", "Érica", "João", "José", "Juliana", "Marcos", "Maria")
 CANDIDATES = ("O proponente MARCOS ANTONIO", "A servidora Juliana Costa", "Relator: Carlos Eduardo", "São Paulo", "Universidade Maria", "José da Silva", "ana lima", "Maria", "Zoroastro Pereira", "Antônio C. de Souza", "  João   Pessoa ", "João Pessoa Neto", "Processo Ana Lima", "Érica de", "e")
 
 
@@ -188,7 +190,7 @@ def clean_prefixes(spark, sf_dir):
 
 
 _IS_NAME = f"""len(w) >= 2 and length(bare) > 4 and norm not in ({", ".join(f"'{x}'" for x in G.PROTECTED)})
-  and not list_has_any(string_split(norm, ' '), {_list(G.INSTITUTIONAL)}) and upper(strip_accents(w[1])) in ({", ".join(f"'{x}'" for x in G.FIRST_NAMES)})"""
+  and not list_has_any(string_split(norm, ' '), {_list(G.INSTITUTIONAL)}) and upper(strip_accents(w[1])) in ({", ".join(f"'{C.bare_upper(x)}'" for x in FIRST)})"""
 
 
 @query(f"""
@@ -196,7 +198,7 @@ with t as (select {K}, {_SPLIT.format(_NAME)} as w from customer), b as (select
 select {K}, {_IS_NAME} as is_name from n
 """)
 def validate_name(spark, sf_dir):
-    return table(spark, sf_dir, "customer").selectExpr(K, f"{_NAME} as x").select(K, C.is_name(F.col("x")).alias("is_name"))
+    return table(spark, sf_dir, "customer").selectExpr(K, f"{_NAME} as x").select(K, C.is_name(F.col("x"), FIRST).alias("is_name"))
 
 
 _LONE = _pick(("JOSE MARIA", "Carlos Eduardo", "SAO PAULO", "Ana Processo", "MARIA EDITAL", "Zoroastro Lima"), K)
@@ -207,7 +209,7 @@ with t as (select {K}, {_LONE} as x from customer), n as (select {K}, string_spl
 select {K}, case when {_IS_NAME} and not list_has_any(string_split(norm, ' '), {_list(G.FORBIDDEN)}) then bare else '' end as names from n
 """)
 def extract_names_by_shape(spark, sf_dir):
-    return table(spark, sf_dir, "customer").selectExpr(K, f"'em 2024, ' || {_LONE} || ', presente' as x").select(K, F.array_join(extract_names(F.col("x")), ";").alias("names"))
+    return table(spark, sf_dir, "customer").selectExpr(K, f"'em 2024, ' || {_LONE} || ', presente' as x").select(K, F.array_join(extract_names(F.col("x"), FIRST), ";").alias("names"))
 
 
 _ANCHORED = _pick(("Interessado: O proponente Zeno Prates", "Dr. Ulisses Prado", "À consideração de Irma Vale", "assinado eletronicamente por Otto Reis", "Relatora: Brasil", "nada"), K)
@@ -220,7 +222,27 @@ k as (select {K}, regexp_replace(c, '^O proponente ', '') as c from m)
 select {K}, case when contains(c, ' ') and length(c) > 4 then c else '' end as names from k
 """)
 def extract_names_by_context(spark, sf_dir):
-    return table(spark, sf_dir, "customer").selectExpr(K, f"{_ANCHORED} as x").select(K, F.array_join(extract_names(F.col("x")), ";").alias("names"))
+    return table(spark, sf_dir, "customer").selectExpr(K, f"{_ANCHORED} as x").select(K, F.array_join(extract_names(F.col("x"), FIRST), ";").alias("names"))
+
+
+_BEFORE_ID = _pick(("Otto Reis, portador do CPF 1", "Irma Vale, CPF nº 2", "Zeno Prates, matrícula 3", "Ada Luz, SIAPE 4", "Rio Branco, SIAPE 5", "Otto Reis, cargo 6"), K)
+
+
+@query(f"""
+with t as (select {K}, 'Em 2024. ' || {_BEFORE_ID} as x from customer), m as (select {K}, trim(regexp_extract(x, {re2(P.ANCHORS[2])}, 1)) as c from t)
+select {K}, case when c <> '' and upper(c) not in ({", ".join(f"'{x}'" for x in G.PROTECTED)}) then c else '' end as names from m
+""")
+def extract_names_before_id(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr(K, f"'Em 2024. ' || {_BEFORE_ID} as x").select(K, F.array_join(extract_names(F.col("x"), FIRST), ";").alias("names"))
+
+
+_NAMED = f"{_pick(('Ana', 'JOSE', 'Carlos', 'Zoroastro'), K)} || ' ' || case when {K} % 4 = 1 then 'LIMA' else 'Lima' end || ' n. ' || cast({K} as string) || '; Dr. Ulisses Prado.'"
+
+
+@query(f"select {K}, replace(replace(replace(replace({_NAMED}, 'Ana Lima', 'A. L.'), 'JOSE LIMA', 'J. L.'), 'Carlos Lima', 'C. L.'), 'Ulisses Prado', 'U. P.') as masked from customer")
+def mask_names(spark, sf_dir):
+    texts = table(spark, sf_dir, "customer").selectExpr(K, f"{_NAMED} as masked")
+    return D.mask(texts, "masked", DocOptions(nomes=True, email_tel=False, cpf=False, rg=False, doc_sei=False), FIRST)
 
 
 @query(f"""
@@ -271,14 +293,13 @@ def text_mode_restore(spark, sf_dir):
     return text_mode.restore(rows, vault)
 
 
-_VARIANTS = "case seq % 5 when 0 then '[EMAIL_1]' when 1 then '[email_1]' when 2 then '[ Email_1 ]' when 3 then 'EMAIL_1' else 'email_1' end || ' e [EMAIL_99]'"
+_VARIANTS = "case seq % 5 when 0 then '[EMAIL_1]' when 1 then '[email_1]' when 2 then '[ Email_1 ]' when 3 then 'EMAIL_1' else 'email_1' end || ' e [EMAIL_0]'"
 
 
-@query(f"{_text_mode_sql(_CALLS)} select done.scope_id, seq, original || ' e [EMAIL_99]' as text from done join vault on vault.scope_id = done.scope_id and marker = '[EMAIL_1]'")
+@query(f"{_text_mode_sql(_CALLS)} select done.scope_id, seq, original || ' e [EMAIL_0]' as text from done join vault on vault.scope_id = done.scope_id and marker = '[EMAIL_1]'")
 def text_mode_restore_llm_variants(spark, sf_dir):
     rows, vault = text_mode.anonymize(_calls(spark, sf_dir))
-    few = vault.filter("type = 'EMAIL' and ordinal < 99")
-    return text_mode.restore(rows.selectExpr("scope_id", "seq", f"{_VARIANTS} as text"), few)
+    return text_mode.restore(rows.selectExpr("scope_id", "seq", f"{_VARIANTS} as text"), vault)
 
 
 @query(f"{_text_mode_sql(_CALLS)} select scope_id, type, count(*) as n from vault group by all")
@@ -300,6 +321,26 @@ def idempotence_check(spark, sf_dir):
     return once.join(twice.withColumnRenamed("text", "again"), ["scope_id", "seq"]).select("scope_id", "seq", "text", (F.col("text") == F.col("again")).alias("same"))
 
 
+_NULL_SCOPES = f"select case when {K} % 3 = 0 then 'none' else cast({K} % 50 as string) end as scope_id, {K} as seq, {_CALL} as text from customer"
+
+
+@query(f"{_text_mode_sql(_NULL_SCOPES)} select nullif(scope_id, 'none') as scope_id, seq, text from done")
+def text_mode_null_scopes(spark, sf_dir):
+    """A third of the calls without a scope: they are one scope, and none passes unmasked."""
+    calls = table(spark, sf_dir, "customer").selectExpr(f"case when {K} % 3 <> 0 then cast({K} % 50 as string) end as scope_id", f"{K} as seq", f"{_CALL} as text")
+    return text_mode.anonymize(calls)[0]
+
+
+@query(f"{_text_mode_sql(_CALLS)} select * from done")
+def text_mode_resumed(spark, sf_dir):
+    """The calls in two lots, the second with the vault of the first: markers as if they had been one."""
+    calls = _calls(spark, sf_dir)
+    half = table(spark, sf_dir, "customer").agg(F.expr(f"max({K}) div 2")).first()[0]
+    first, vault = text_mode.anonymize(calls.filter(F.col("seq") <= half))
+    second, _ = text_mode.anonymize(calls.filter(F.col("seq") > half), known=vault)
+    return first.unionByName(second)
+
+
 @query(f"{_text_mode_sql(_CALLS, _KINDS[:1])} select * from done")
 def types_subset(spark, sf_dir):
     return text_mode.anonymize(_calls(spark, sf_dir), ("email", "nothing"))[0]
@@ -322,12 +363,12 @@ def multi_turn_scope(spark, sf_dir):
 
 # Layout --------------------------------------------------------------------------------------------------------------
 #: A page for each order: a signature line on even keys, the authenticity phrase on keys that 3 divides, a number, a code.
-_PAGES = "select cast(o_orderkey as string) as doc_id, 1 as page, 600.0::double as width, 800.0::double as height, o_orderkey as k from orders where o_orderkey % 10 < 6"
+_PAGES = "select cast(o_orderkey as string) as doc_id, 1 as page, 600.0::double as width, 800.0::double as height, o_orderkey as k from orders"
 _PAGES_SPARK = ("cast(o_orderkey as string) as doc_id", "1 as page", "cast(600 as double) as width", "cast(800 as double) as height", "o_orderkey as k")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 6").selectExpr(*_PAGES_SPARK)
+    return table(spark, sf_dir, "orders").selectExpr(*_PAGES_SPARK)
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,17 +404,31 @@ def layout_crc_gate(spark, sf_dir):
     return layout.crc_codes(layout.page_texts(_words(spark, sf_dir))).select("doc_id", "page", "x0", "y0", "x1", "y1", "rotulo")
 
 
-@query(f"select tipo, count(*) as n from (select 'barra_sei' as tipo from ({_PAGES}) union all select 'qr_code' from ({_PAGES}) where k % 3 = 0 union all select 'doc_sei' from ({_PAGES}) where (case when k % 2 = 0 then 400 + k % 10 else 680 end) < 700 union all select 'crc_sei' from ({_PAGES}) where k % 3 = 0) group by tipo")
+_SEI = f"select doc_id, page, 150::double as x0, 700::double as y0, 220::double as x1, 712::double as y1, 'doc_sei' as tipo, 'XXXXX' || right({pad('k * 41 % 10000000', 7)}, 2) as rotulo, '' as fill from ({_PAGES}) where (case when k % 2 = 0 then 400 + k % 10 else 680 end) < 700"
+_BARS = f"select doc_id, page, width - 25 as x0, 0::double as y0, width as x1, height as y1, 'barra_sei' as tipo, 'Barra Lateral SEI' as rotulo, '0,0,0' as fill from ({_PAGES})"
+_QRS = f"select doc_id, page, 50::double - 60 as x0, (500 + k % 10 - 10)::double as y0, 50::double as x1, (500 + k % 10 + 52)::double as y1, 'qr_code' as tipo, 'QR Code SEI' as rotulo, '1,1,1' as fill from ({_PAGES}) where k % 3 = 0"
+_CRCS = f"select doc_id, page, 350::double as x0, 700::double as y0, 430::double as x1, 712::double as y1, 'crc_sei' as tipo, 'XXXXXXXX' as rotulo, '0,0,0' as fill from ({_PAGES}) where k % 3 = 0"
+
+
+def _plain_fill(fill):
+    return F.coalesce(F.array_join(F.transform(fill, lambda x: x.cast("int").cast("string")), ","), F.lit("")).alias("fill")
+
+
+@query(f"{_BARS} union all {_QRS} union all {_SEI} union all {_CRCS}")
 def layout_plan(spark, sf_dir):
+    """Every box of the plan, with its label and colour."""
     boxes, _ = layout.plan(_pages(spark, sf_dir), _words(spark, sf_dir))
-    return boxes.groupBy("tipo").agg(F.count("*").alias("n"))
+    return boxes.select("doc_id", "page", "x0", "y0", "x1", "y1", "tipo", "rotulo", _plain_fill(F.col("fill")))
 
 
-@query(f"select doc_id, page, x0 - 0.5 as x0, 99.5::double as y0, width + 0.5 as x1, 112.5::double as y1, case when h * 0.75 < 6 then 6 else round_even(h * 0.75, 1) end::double as font_size from (select *, 50::double as x0, (1 + k % 20)::double / 2 + 4 as h from ({_PAGES}))")
+@query(f"""select doc_id, page, 49.5::double as x0, 99.5::double as y0, width + 0.5 as x1, 100.5 + h as y1, case when k % 2 = 0 then '1,1,1' else '0,0,0' end as fill, case when k % 2 = 0 then '***' end as text,
+  case when k % 2 = 0 then case when h * 0.75 < 6 then 6 else round_even(h * 0.75, 1) end::double end as font_size from (select *, (1 + k % 20)::double / 2 + 4 as h from ({_PAGES}))""")
 def layout_redactions(spark, sf_dir):
-    boxes = _pages(spark, sf_dir).selectExpr("doc_id", "page", "cast(50 as double) as x0", "cast(100 as double) as y0", "width as x1", "cast(112 as double) as y1", "'cpf' as tipo", "'***' as rotulo", "cast(null as array<double>) as fill", "cast(1 + k % 20 as double) / 2 + 4 as h")
+    """What a writer draws where masks are text: a label in white, or, on odd keys, a box of its own colour without text."""
+    h = "cast(1 + k % 20 as double) / 2 + 4"
+    boxes = _pages(spark, sf_dir).selectExpr("doc_id", "page", "cast(50 as double) as x0", "cast(100 as double) as y0", "width as x1", f"100 + {h} as y1", "'cpf' as tipo", "'***' as rotulo", "case when k % 2 = 1 then array(0D, 0D, 0D) end as fill")
     drawn = layout.redactions(boxes, "texto")
-    return drawn.join(boxes.select("doc_id", C.font_size(F.col("h")).alias("size")), "doc_id").select("doc_id", "page", "x0", "y0", "x1", "y1", F.col("size").alias("font_size"))
+    return drawn.select("doc_id", "page", "x0", "y0", "x1", "y1", _plain_fill(F.col("fill")), "text", "font_size")
 
 
 @query(f"select doc_id, page, k % 4 as kind from ({_PAGES}) where k % 4 = 3")

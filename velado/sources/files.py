@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 SUPPORTED = ("pdf", "txt", "docx")
 DONE = "_anonimizado"
+#: What a broken or locked file raises; the type's name is all that is told of it, as messages may hold parts of the file.
+UNREADABLE = (zipfile.BadZipFile, KeyError, ET.ParseError, RuntimeError, NotImplementedError, EOFError, ValueError, OSError, zlib.error, TypeError)
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -69,19 +72,28 @@ def _text(p: ET.Element) -> str:
     return "".join(out)
 
 
-def docx(files: DataFrame) -> DataFrame:
-    """(path, para_no, in_table, text): a rule never sees beyond its paragraph. A broken file fails the job."""
+def docx(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(path, para_no, in_table, text): a rule never sees beyond its paragraph. A file that cannot be read is one row of nulls
+    with an `error` if errors are asked for; otherwise it fails the job."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    root = ET.fromstring(z.read("word/document.xml"))
-                rows += [(path, k, in_table, _text(p)) for k, (p, in_table) in enumerate(_paragraphs(root))]
-            yield pd.DataFrame(rows, columns=["path", "para_no", "in_table", "text"])
-
-    return files.filter("ext = 'docx'").select("path", "content").mapInPandas(read, "path string, para_no int, in_table boolean, text string")
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        root = ET.fromstring(z.read("word/document.xml"))
+                except UNREADABLE as e:
+                    if not errors:
+                        raise
+                    rows.append((path, None, None, None, type(e).__name__))
+                    continue
+                rows += [(path, k, in_table, _text(p), None) for k, (p, in_table) in enumerate(_paragraphs(root))]
+            out = pd.DataFrame(rows, columns=["path", "para_no", "in_table", "text", "error"]).astype({"para_no": "Int32", "in_table": "boolean"})
+            yield out if errors else out.drop(columns="error")
+
+    schema = "path string, para_no int, in_table boolean, text string" + ", error string" * errors
+    return files.filter("ext = 'docx'").select("path", "content").mapInPandas(read, schema)
 
 
 def rebuilt_docx(content: bytes, texts: dict[int, str]) -> bytes:

@@ -35,14 +35,12 @@ def phone_key(hit: str) -> str:
 
 
 class Session:
-    """A scope's markers: {(type, key): (marker, first spelling)} and how many of each type there are."""
+    """A scope's markers: {(type, key): (marker, first spelling)} and how many of each type there have been."""
 
-    def __init__(self, known: dict[tuple[str, str], tuple[str, str]] | None = None):
-        self.known = known or {}
+    def __init__(self, known: dict[tuple[str, str], tuple[str, str]] | None = None, n: dict[str, int] | None = None):
+        self.known = {} if known is None else known
         self.new: list[tuple[str, str]] = []
-        self.n: dict[str, int] = {}
-        for kind, _ in self.known:
-            self.n[kind] = self.n.get(kind, 0) + 1
+        self.n: dict[str, int] = {} if n is None else n
 
     def marker(self, kind: str, key: str, value: str) -> str:
         if (kind, key) not in self.known:
