@@ -65,11 +65,24 @@ def test_fingerprints():
     assert h[1000] == h[3000] and len(set(h.tolist())) == 4600
 
 
-def test_changed_input_fails():
+def test_changed_input_fails(spark, tmp_path):
     from velado.llm import pages
 
     with pytest.raises(RuntimeError, match="another order"):
-        pages.answer("file:///tmp/velado-no-such-folder", "0-0-00000000", 3)
+        pages.Answers(f"file://{tmp_path}/none", "0", 1).totals(7, np.zeros(3, np.uint64))
+    run = pages.Run()
+    run.add(7, np.arange(3, dtype=np.uint64), np.ones(3, np.int64))
+    rows = spark.createDataFrame([r for b in pages.requests("0", 0, run, 4) for r in b.to_pylist()], pages.REQUEST)
+    folder = pages.answered(rows, f"file://{tmp_path}/a", 1)
+    assert pages.Answers(folder, "0", 0).totals(7, np.array([1, 2, 9], np.uint64)).tolist() == [1, 1, 0]
+    with pytest.raises(RuntimeError, match="another order"):
+        pages.Answers(folder, "0", 0).totals(8, np.zeros(3, np.uint64))
+
+
+def test_runs_of_any_length_give_the_same(spark):
+    docs = rows()
+    found = [sorted(map(tuple, S.dedup(frame(spark, docs), size=64, q=5, block_bytes=900, run_names=n, buckets=b).select("id", "n_removed", "n_spans", "kept_sha256").collect()), key=str) for n, b in ((1, 2), (50, 64), (10**6, 1024))]
+    assert found[0] == found[1] == found[2]
 
 
 def test_pages():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import U64, Words, held, mixed, scratch
 from .decontaminate import hashes
 from .features import terms
-from .pages import REQUEST, answer, answered, buckets_for, distinct, requests, scan
+from .pages import RUN, Answers, answered, buckets_for, distinct, gather, scan
 
 #: The n-gram of no words, of which there are as many as words.
 NOTHING = U64(0x9D39247E33776D41)
@@ -84,29 +84,35 @@ def log_scores(totals: np.ndarray, back: np.ndarray, grams: np.ndarray, nothing:
     return out
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, buckets: int | None = None, run_names: int = RUN) -> DataFrame:
     """(id, n_words, log_score) of each row of docs under the counts of `corpus` (docs itself, if not given)."""
-    buckets = buckets or buckets_for(docs if corpus is None else corpus)
+    buckets = buckets or buckets_for(docs if corpus is None else corpus, 8)
     how = {"id_col": id_col, "text_col": text_col, "block_bytes": block_bytes}
 
-    def ask(name: str, weight: int):
+    def ask(weight: int):
         """weight 1: the block's n-grams count; 0: it only asks."""
 
-        def each(block: str, ids: pa.Array, raws: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def of_block(mark: int, ids: pa.Array, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             names, _, counts = _asked(ngrams(order)(raws)[0])
-            yield requests(name + block, names, counts * weight, buckets)
+            return names, counts * weight
 
-        return each
+        return lambda part: of_block
 
-    asked = scan(docs, ask("", int(corpus is None)), REQUEST, **how)
-    if corpus is not None:
-        asked = asked.unionByName(scan(corpus, ask("corpus-", 1), REQUEST, **how))
-    folder = answered(asked, scratch(docs.sparkSession, "totals"))
+    own = corpus is None
+    asked = gather(docs, ask(int(own)), buckets, run_names=run_names, **how)
+    if not own:
+        asked = asked.unionByName(gather(corpus, ask(1), buckets, prefix="corpus-", run_names=run_names, **how))
+    # An n-gram of docs itself that is not answered occurs once; one of another corpus, never.
+    folder = answered(asked, scratch(docs.sparkSession, "totals"), 1 + own, "corpus-")
 
-    def sum_up(block: str, ids: pa.Array, raws: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def sum_up(part: str):
+        known = Answers(folder, part, int(own), run_names)
+        return lambda mark, ids, raws: of_block(known, mark, ids, raws)
+
+    def of_block(known: Answers, mark: int, ids: pa.Array, raws: list[bytes]) -> Iterator[pa.RecordBatch]:
         grams, n = ngrams(order)(raws)
         names, back, _ = _asked(grams)
-        totals = answer(folder, block, len(names))
+        totals = known.totals(mark, names)
         logs = log_scores(totals, back, grams, int(totals[np.searchsorted(names, NOTHING)]), min_count, alpha)
         sums = np.array([float(x.sum()) for x in np.split(logs, np.cumsum(n)[:-1])]) if len(n) else np.empty(0)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(sums)], names=["id", "n_words", "log_score"])
