@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Ragged, blocks, by_doc, held, id_text, scratch
 
@@ -315,7 +316,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
         if names:
             yield flush()
 
-    placed = id_text(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "raw")
+    # An id that many rows share (null, say) is split by the beginnings of their texts.
+    rows, begin = id_text(docs, id_col, text_col), F.substring("raw", 1, 64)
+    parts = docs.rdd.getNumPartitions()
+    many = (parts,) if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    placed = rows.repartitionByRange(*many, F.col("id"), begin).sortWithinPartitions("id", "raw")
     files = sorted((r.asDict() for r in placed.mapInArrow(write, "part long, roll long, path string, n_docs long, n_ids long").collect()), key=lambda r: (r["part"], r["roll"]))
     first = 0
     for f in files:
