@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ragged, Words, blocks, by_doc, id_text, small_batches
+from .common import Ragged, Words, blocks, by_doc, id_text
 from .features import in_fold
 
 BITS = 18
@@ -233,7 +233,8 @@ class Labeller:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000, words: int = 200, **options) -> CRF:
     """Fits on `words` words (from a place that the id decides) of at most `rows` documents of the training fold.
 
-    Rows are shared out evenly among the languages, those with the smallest hashes of id first.
+    Rows are shared out evenly among the languages, those with the smallest hashes of id first. An id that occurs several
+    times trains once, with its least language and, of that, the text of the least hash.
     """
     d = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].alias("lang")).filter("id is not null and lang is not null")
     labels = sorted(r.lang for r in d.select("lang").distinct().collect())
@@ -243,7 +244,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     chosen = each[0]
     for x in each[1:]:
         chosen = chosen.unionByName(x)
-    texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "raw", "lang")
+    # At most one row of an id, so at most `rows` of them: repeated ids count against the bound, and of their texts one trains.
+    chosen = chosen.groupBy("id").agg(F.min("lang").alias("lang"))
+    texts = id_text(docs, id_col, text_col, lang_col).toDF("id", "raw", "lang").join(F.broadcast(chosen), ["id", "lang"])
+    texts = texts.groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("raw").alias("hash"), "raw")).alias("one")).select("id", "one.raw", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +300,6 @@ def predict(docs: DataFrame, model: CRF, *, id_col: str = "doc_id", text_col: st
 
     if not keep:
         return id_text(docs, id_col, text_col).mapInArrow(rows, "id long, lang_pred string, score double, n_words long, n_switches long")
-    small_batches(docs.sparkSession)
     # Columns travel under names of their own, so that they may be called anything.
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     raw = F.coalesce(own[f"c{docs.columns.index(text_col)}"].cast("string").cast("binary"), F.lit(b""))
