@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, id_text, mixed, spans, without, written
+from .common import U64, Tables, Words, blocks, id_text, mixed, spans, without, written
 from .decontaminate import hashes
 from .features import terms
 
@@ -198,8 +199,8 @@ def bags_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, bits
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["node", "bag"])
 
     all_ = id_text(docs, id_col, text_col).mapInArrow(pack, "node binary, bag binary")
-    # Copies have equal bags, so any one of them serves; their rows meet after a partial choice in each task.
-    return all_.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
+    # Copies have equal bags, so any one of them serves. A task keeps one of each before the shuffle, however many it has.
+    return all_.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node", "left_semi")
 
 
 def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
@@ -219,14 +220,16 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a binary, b binary")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge: label is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each round is a table in the shared folder. Stops when a round changes nothing.
+    Alternates large-star and small-star steps, a table in the shared folder each, until one changes nothing: then every
+    edge leads from a node to its component's smallest. Rounds grow with the logarithm of the nodes; none is cut short.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    tables = Tables(edges.sparkSession, "components")
+    e = tables.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "0")
     before = None
-    for _ in range(most_rounds):
+    for k in count(1):
         # Large star: of each node, the larger neighbours point to the smallest of it and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -234,7 +237,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: of each node, it and its smaller neighbours point to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), "m"), F.struct(F.col("v").alias("x"), "m"))).alias("p")).select(F.col("p.x").alias("u"), F.col("p.m").alias("v")).filter("u != v").distinct()
-        e = written(small, "edges")
+        e = tables.write(small, str(k))
+        tables.drop(str(k - 1))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
