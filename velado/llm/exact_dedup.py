@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, id_text, mixed, scratch, small_batches
+from .common import U64, id_text, mixed, scratch, written
 
 SPACE = b"\t\n\x0b\x0c\r "
 TAIL = bytes(range(0x80, 0xC0))
@@ -84,11 +84,16 @@ def _flush(memtable: dict, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([_page(b, digests[i:j], chars[i:j], ids[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j], schema=_ARROW_PAGE)
 
 
+def buckets_for(docs: DataFrame, each: int = 1_000_000, least: int = 256) -> int:
+    """A power of two, so that a bucket has about `each` rows at most: 56 MB of entries in the task that merges it."""
+    return max(least, 1 << max(0, docs.count() // each).bit_length())
+
+
 class LsmIndex:
     """Runs of pages in the shared folder: level 0 as flushed, level 1 as merged. `add` may be called again."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 256, memtable_rows: int = 200_000, digest_size: int = 32):
-        """digest_size below 32 exists for tests: it makes digests of different texts collide."""
+        """buckets: see buckets_for; it must not change while an index grows. digest_size below 32 exists for tests: it makes digests of different texts collide."""
         self.spark, self.path = spark, path or scratch(spark, "lsm")
         self.buckets, self.memtable_rows, self.digest_size = buckets, memtable_rows, digest_size
         self.runs: list[str] = []
@@ -179,14 +184,15 @@ def _maybe(digests: list[bytes], slices: list[bytes]) -> np.ndarray:
 
 
 def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes], digest_size: int = 32, texts: bool = False) -> DataFrame:
-    """(id, n_chars, digest, maybe_hit): and, if asked for, the normalised text of possible hits."""
+    """(id, n_chars, digest, maybe_hit), or, if asked for, with the index's digest and the normalised text of possible hits."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column(1).to_pylist()
-            found = [digest_of(raw, digest_size) for raw in raws]
-            maybe = _maybe(found, slices)
-            columns = [batch.column(0), pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(found, pa.binary()), pa.array(maybe)]
+            found = [digest_of(raw) for raw in raws]
+            short = found if digest_size == 32 else [d[:digest_size].ljust(32, b"\0") for d in found]
+            maybe = _maybe(short, slices)
+            columns = [batch.column(0), pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(short if texts else found, pa.binary()), pa.array(maybe)]
             names = ["id", "n_chars", "digest", "maybe_hit"]
             if texts:
                 columns.append(pa.array([raw.translate(None, SPACE) if m else None for raw, m in zip(raws, maybe.tolist(), strict=True)], pa.binary()))
@@ -196,10 +202,10 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes]
     return id_text(docs, id_col, text_col).mapInArrow(digests, "id long, n_chars long, digest binary, maybe_hit boolean" + ", norm binary" * texts)
 
 
-def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int, memtable_rows: int, digest_size: int, salts: int) -> tuple[DataFrame, list[bytes]]:
+def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int | None, memtable_rows: int, digest_size: int, salts: int) -> tuple[DataFrame, list[bytes]]:
     """What the index says of digests with several rows, each verified: (digest, full, keep_id, keep_chars, group_size,
     salt), a row for each salt; and the filter of these digests. `full` is set where the digest alone does not tell."""
-    index = LsmIndex(docs.sparkSession, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size).add(docs, id_col, text_col).compact()
+    index = LsmIndex(docs.sparkSession, buckets=buckets or buckets_for(docs), memtable_rows=memtable_rows, digest_size=digest_size).add(docs, id_col, text_col).compact()
     slices = index.hit_filter()
     # Byte verification: the distinct texts of each hit; copies collapse before the shuffle.
     texts = with_digest(docs, id_col, text_col, slices, digest_size, texts=True).filter("maybe_hit")
@@ -230,14 +236,17 @@ def _decided(rows: DataFrame, groups_: DataFrame, digest_size: int, salts: int,
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 256, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
     """A row for each row of docs: id, n_chars, text_sha256, keep_id, group_size, kept."""
     of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size, salts=salts)
-    rows = with_digest(docs, id_col, text_col, slices).select("id", "n_chars", "digest")
-    return _decided(rows, of_group, digest_size, salts, []).withColumnRenamed("full", "text_sha256")
+    rows = written(with_digest(docs, id_col, text_col, slices, digest_size), "digests")
+    # Only possible hits meet the index's entries; a row that surely is alone stays where it is.
+    alone = rows.filter("not maybe_hit").select("id", "n_chars", F.lower(F.hex("digest")).alias("full"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    doubt = _decided(rows.filter("maybe_hit").drop("maybe_hit"), of_group, digest_size, salts, [])
+    return alone.unionByName(doubt).withColumnRenamed("full", "text_sha256")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 256, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
     """The rows of docs that stay, with all their columns; only possible hits are shuffled."""
     of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size, salts=salts)
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
@@ -252,7 +261,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             short = [d[:digest_size].ljust(32, b"\0") for d in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(found, pa.binary()), pa.array(_maybe(short, slices))], names=[x.name for x in schema])
 
-    small_batches(docs.sparkSession)
     marked = own.withColumn("id", own[f"c{docs.columns.index(id_col)}"].cast("long")).withColumn("raw", raw).mapInArrow(mark, schema)
     doubt = _decided(marked.filter("maybe_hit"), of_group, digest_size, salts, columns).filter("kept").select(columns)
     return marked.filter("not maybe_hit").select(columns).unionByName(doubt).toDF(*docs.columns)
