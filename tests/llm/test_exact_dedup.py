@@ -57,3 +57,9 @@ def test_index_grows(spark):
 
 def test_empty(spark):
     assert E.groups(frame(spark, [])).count() == 0 and E.deduplicate(frame(spark, [])).count() == 0
+
+
+def test_buckets_follow_the_rows(spark):
+    docs = spark.range(1000).selectExpr("id as doc_id", "cast(id % 300 as string) as text")
+    assert E.buckets_for(docs) == 256 and 2 * 1000 // 3 <= 3 * E.buckets_for(docs, each=3, least=2) <= 4 * 1000
+    assert E.groups(docs).filter("kept").count() == 300

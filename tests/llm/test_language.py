@@ -77,3 +77,13 @@ def test_keep_and_empty(spark):
     none = L.train(frame(spark, [(1, "a b"), (None, "x", "en")]))
     assert none.labels == [] and L.predict(docs, none).filter("lang_pred = 'und' and score = 0").count() == 30
     assert L.predict(frame(spark, []), model).count() == 0
+
+
+def test_repeated_ids_keep_the_bound(spark, monkeypatch):
+    """Ids that occur many times train once: never more documents than asked for."""
+    seen = []
+    monkeypatch.setattr(L.CRF, "fit", lambda self, docs: seen.append(docs) or self)
+    rows = [(k % 2, f"text {k}", ("en", "fr")[k % 2]) for k in range(100)] + [(7, "seven", "en"), (7, "sept", "fr"), (None, "x", "en")]
+    L.train(frame(spark, rows), rows=60)
+    L.train(frame(spark, sorted(rows, key=str)).repartition(3), rows=60)
+    assert seen[0] == seen[1] and 1 <= len(seen[0]) <= 3

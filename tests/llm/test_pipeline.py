@@ -89,3 +89,26 @@ def test_registered_queries_run(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name, f in QUERIES.items():
         assert f(spark, sf_dir).count() == n, name
+
+
+def test_short_items(spark, tmp_path):
+    """One item of fewer than eight words is no reason to drop a document; two are, and so is a window of a longer one."""
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "common phrase"), (2, "Other one"), (3, "a b c d e f g h i"), (None, "q r s t u v w x"), (4, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = [(1, "with a common phrase in it"), (2, "the common phrase, and other one"), (3, "so: B C D E F G H I."), (4, "a b c d e f g"), (5, "q r s t u v w x"), (6, None)]
+    docs = frame(spark, rows)
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, d).collect()) == [1, 4, 6]
+
+
+def test_the_last_stage_keeps_ids(spark, tables):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = frame(spark, [(1, "one two"), (2, ""), (3, None)])
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, tables[0]).collect()}
+    assert got[1].ids == model.encode("one two") and got[2].ids == got[3].ids == []
+    assert all(r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got.values())

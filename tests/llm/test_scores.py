@@ -113,3 +113,67 @@ def test_ordinal_slope_is_right():
     tails = model.tails(feats, counts, lengths)
     p = np.concatenate((1 - tails[:, :1], tails[:, :1] - tails[:, 1:], tails[:, 1:]), 1)
     assert (p.argmax(1) == y).all()
+
+
+def layouts(spark, rows):
+    """The same rows in several partitions and orders."""
+    for order, parts in ((sorted(rows), 1), (sorted(rows, reverse=True), 7)):
+        yield frame(spark, order).repartitionByRange(parts, "doc_id") if parts > 1 else frame(spark, order).coalesce(1)
+    yield frame(spark, rows).repartition(5, "text")
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """Equal to the last bit, with repeated documents, ties and a very long text among the rows that train."""
+    rows, labels = toxic_rows(400)
+    rows += [(k, t) for k, t in rows[:20]] + [(5000, "scumbags outlander " * 20_000), (5001, "same"), (5002, "same")]
+    labels += [(5000, 1), (5001, 0), (5002, 1), (5002, 0)]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    ratings = spark.createDataFrame([(k, 2 - y) for k, y in labels], "doc_id long, grade int")
+    toxic, quality = [], []
+    for docs in layouts(spark, rows):
+        shuffled = lab.repartition(3)
+        toxic.append(sorted((r.id, r.score) for r in X.score(docs, X.train(docs, shuffled)).collect()))
+        quality.append(sorted((r.id, r.expected_grade, r.p_ge_2) for r in Q.grade(docs, Q.train(docs, ratings.repartition(2), 3, steps=20, rounds=2)).collect()))
+    assert toxic[0] == toxic[1] == toxic[2] and quality[0] == quality[1] == quality[2]
+
+
+def test_toxicity_score_is_the_sum_over_pairs(spark):
+    """Every pair of distinct known features, one by one."""
+    rows, labels = toxic_rows(300)
+    model = X.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = rows[:25] + [(9000 + k, t) for k, t in enumerate(AWKWARD)]
+    at = {f: i + 1 for i, f in enumerate(model.known.tolist())}
+    want = {}
+    for k, t in held:
+        feats = sorted({f for w in X.terms((t or "").encode()) for f in X.hashed(w)})
+        known = [model.weights[at[f]].astype(float) for f in feats if f in at]
+        s = model.bias + sum(x[0] for x in known) + sum(known[i][1:] @ known[j][1:] for i in range(len(known)) for j in range(i))
+        p = 1 / (1 + math.exp(-min(max(s, -30), 30)))
+        want[k] = p if known else min(p, model.share)
+    assert any(abs(x[1:]).any() for x in model.weights)
+    assert {r.id: pytest.approx(r.score, abs=1e-9) for r in X.score(frame(spark, held), model).collect()} == want
+
+
+def test_quality_slope_equals_differences():
+    """The slopes that training follows are those of the negative log-likelihood, by finite differences."""
+    rng = np.random.default_rng(1)
+    y, lengths = np.array([0, 2, 1, 2, 0, 1]), np.array([5, 4, 6, 5, 0, 4])
+    feats, counts = rng.integers(0, 12, lengths.sum()), rng.integers(1, 4, lengths.sum())
+    x, own = Q.scaled(counts, lengths), np.repeat(np.arange(len(y)), lengths)
+    w, first, steps = rng.normal(0, 1, 12), -0.7, np.array([0.3])
+
+    def loss(w, first, steps):
+        t = np.concatenate(([-np.inf], Q.ascending(first, steps), [np.inf]))
+        s = np.bincount(own, x * w[feats], len(y))
+        return -np.mean([math.log(1 / (1 + math.exp(-(t[g + 1] - v))) - 1 / (1 + math.exp(-(t[g] - v)))) if g < 2 else math.log(1 - 1 / (1 + math.exp(-(t[g] - v)))) for g, v in zip(y, s, strict=True)])
+
+    s = np.bincount(own, x * w[feats], len(y))
+    error, move = Q.slopes(y, s, first, steps)
+    slope = np.bincount(feats, error[own] * x, 12)
+    e = 1e-5
+    near = lambda a, b: (loss(*b) - loss(*a)) / (2 * e)
+    for k in range(12):
+        d = np.eye(12)[k] * e
+        assert slope[k] == pytest.approx(near((w - d, first, steps), (w + d, first, steps)), abs=1e-6)
+    assert move[0] == pytest.approx(near((w, first - e, steps), (w, first + e, steps)), abs=1e-6)
+    assert move[1] == pytest.approx(near((w, first, steps - e), (w, first, steps + e)), abs=1e-6)

@@ -1,7 +1,8 @@
 """What the corpus operators share: the shared folder, blocks of texts, tables of distinct words, pages of hashes.
 
 All operators select the id and text columns by name first, under names of their own, so further columns of the
-input never clash with theirs. Texts reach Python as bytes (invalid UTF-8 survives), a null text as an empty one.
+input never clash with theirs. Texts reach Python as bytes (invalid UTF-8 survives), a null text as an empty one. They
+change no setting of the session; plans.session.prepared lowers the size of Arrow batches for those who call them.
 """
 
 from __future__ import annotations
@@ -15,22 +16,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import scratch, shared_folder, written  # noqa: F401
+from ..plans.cut import Tables, scratch, shared_folder, written  # noqa: F401
 
 U64 = np.uint64
 
 
-def small_batches(spark: SparkSession, size: str = "2m") -> None:
-    """Arrow batches by bytes: rows of long texts would otherwise fill 64 MB at a time, in Python and in the JVM. A value
-    that the session sets itself stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864", "67108864b"):
-        spark.conf.set(key, size)
-
-
 def give_back() -> None:
     """Returns freed memory to the system, for a worker process that goes on to other tasks."""
     pa.default_memory_pool().release_unused()
@@ -38,10 +31,9 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, raw binary); a null text becomes empty bytes."""
-    small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b"")).alias("raw"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id long, raw binary, further columns); a null text becomes empty bytes."""
+    return docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string").cast("binary"), F.lit(b"")).alias("raw"), *(docs[c] for c in more))
 
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -170,10 +162,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def by_doc(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of `values` with these lengths (zero-length runs give 0)."""
-    total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
+    """Sums of consecutive runs of `values` with these lengths (zero-length runs give 0), each by itself, so that a run's sum
+    does not depend on what stands beside it."""
+    out, full = np.zeros(len(lengths), np.add.reduce(values[:0]).dtype), lengths > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full])
+    return out
 
 
 # Pages of sorted 64-bit hashes -------------------------------------------------------------------------------------

@@ -294,11 +294,11 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             ends = np.cumsum(n)
             crcs = [zlib.crc32(wide[i:j]) for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array(n), pa.array(crcs, pa.int64()), pa.array([len(t) for t in back], pa.int64()), pa.array([zlib.crc32(t) for t in back], pa.int64()), pa.array([a == b for a, b in zip(back, raws, strict=True)], pa.bool_())],
-                names=["id", "n_tokens", "ids_crc32", "n_bytes", "text_crc32", "round_trip"],
+                [names, pa.array(n), pa.array(crcs, pa.int64()), pa.array([len(t) for t in back], pa.int64()), pa.array([zlib.crc32(t) for t in back], pa.int64()), pa.array([a == b for a, b in zip(back, raws, strict=True)], pa.bool_()), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))],
+                names=["id", "n_tokens", "ids_crc32", "n_bytes", "text_crc32", "round_trip", "ids"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(apply, "id long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long, round_trip boolean")
+    return id_text(docs, id_col, text_col).mapInArrow(apply, "id long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long, round_trip boolean, ids array<int>")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

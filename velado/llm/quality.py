@@ -45,6 +45,26 @@ def scaled(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return counts / np.repeat(np.maximum(norm, 1e-9), lengths)
 
 
+def ascending(first: float, steps: np.ndarray) -> np.ndarray:
+    """Thresholds: the first, then the exponentials of the steps."""
+    return np.concatenate(([first], first + np.cumsum(np.exp(steps))))
+
+
+def slopes(y: np.ndarray, s: np.ndarray, first: float, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the mean negative log-likelihood of grades y: by each row's score s, and by `first` and the steps."""
+    t, n = ascending(first, steps), len(y)
+    # Cumulative probabilities at both edges of each row's own grade, and their slopes.
+    edge = sigmoid(np.concatenate((np.full((n, 1), -30.0), t[None, :] - s[:, None], np.full((n, 1), 30.0)), 1))
+    hi, lo = edge[np.arange(n), y + 1], edge[np.arange(n), y]
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    d_t = np.zeros(len(t) + 2)
+    np.add.at(d_t, y + 1, -d_hi / n)
+    np.add.at(d_t, y, d_lo / n)
+    d_t = d_t[1:-1]
+    return (d_hi - d_lo) / n, np.concatenate(([d_t.sum()], [d_t[k + 1 :].sum() * np.exp(steps[k]) for k in range(len(steps))]))
+
+
 class CumulativeLink:
     def __init__(self, grades: int, rounds: int = 15, steps: int = 600, rate: float = 0.2, l2: float = 1e-5, seed: int = 5):
         """rounds over the sample, or more where it is so small that they make fewer than `steps` steps."""
@@ -72,25 +92,14 @@ class CumulativeLink:
                 own = np.repeat(np.arange(len(lot)), n)
                 seen, r = np.unique(feats[at], return_inverse=True)
                 s = np.bincount(own, x[at] * self.weights[seen][r], len(lot))
-                t = np.concatenate(([first], first + np.cumsum(np.exp(steps))))
-                # Cumulative probabilities at both edges of each row's own grade, and their slopes.
-                edge = sigmoid(np.concatenate((np.full((len(lot), 1), -30.0), t[None, :] - s[:, None], np.full((len(lot), 1), 30.0)), 1))
-                hi, lo = edge[np.arange(len(lot)), y[lot] + 1], edge[np.arange(len(lot)), y[lot]]
-                p = np.maximum(hi - lo, 1e-9)
-                d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-                error = (d_hi - d_lo) / len(lot)
+                error, move = slopes(y[lot], s, first, steps)
                 slope = np.bincount(r, error[own] * x[at], len(seen)) + self.l2 * self.weights[seen]
                 square[seen] += slope**2
                 self.weights[seen] -= self.rate * slope / np.sqrt(square[seen])
-                d_t = np.zeros(self.grades + 1)
-                np.add.at(d_t, y[lot] + 1, -d_hi / len(lot))
-                np.add.at(d_t, y[lot], d_lo / len(lot))
-                d_t = d_t[1:-1]
-                move = np.concatenate(([d_t.sum()], [d_t[k + 1 :].sum() * np.exp(steps[k]) for k in range(len(steps))]))
                 t_square += move**2
                 move *= 0.1 / np.sqrt(t_square)
                 first, steps = first - move[0], steps - move[1:]
-        self.thresholds = np.concatenate(([first], first + np.cumsum(np.exp(steps))))
+        self.thresholds = ascending(first, steps)
         return self
 
     def tails(self, feats: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
