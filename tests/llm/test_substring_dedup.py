@@ -68,20 +68,21 @@ def test_fingerprints():
 def test_changed_input_fails(spark, tmp_path):
     from velado.llm import pages
 
+    one = np.arange(3, dtype=np.uint64)
     with pytest.raises(RuntimeError, match="another order"):
-        pages.Answers(f"file://{tmp_path}/none", "0", 1).totals(7, np.zeros(3, np.uint64))
-    run = pages.Run()
-    run.add(7, np.arange(3, dtype=np.uint64), np.ones(3, np.int64))
-    rows = spark.createDataFrame([r for b in pages.requests("0", 0, run, 4) for r in b.to_pylist()], pages.REQUEST)
-    folder = pages.answered(rows, f"file://{tmp_path}/a", 1)
-    assert pages.Answers(folder, "0", 0).totals(7, np.array([1, 2, 9], np.uint64)).tolist() == [1, 1, 0]
-    with pytest.raises(RuntimeError, match="another order"):
-        pages.Answers(folder, "0", 0).totals(8, np.zeros(3, np.uint64))
+        pages.Answers(f"file://{tmp_path}/none", "0").totals(7, one)
+    asked = [r for part, k in (("0", 0), ("0", 1), ("corpus-0", 0)) for r in pages.requests(part, k, 7 + k, one + np.uint64(k), np.ones(3, np.int64), 4).to_pylist()]
+    folder = pages.answered(spark.createDataFrame(asked, pages.REQUEST), f"file://{tmp_path}/a", "corpus-")
+    known = pages.Answers(folder, "0")
+    assert known.totals(7, one).tolist() == [2, 3, 3] and known.totals(8, one).tolist() == [3, 3, 1] and known.totals(9, one[:0]).tolist() == []
+    for mark, names in ((8, one), (7, one[:2])):
+        with pytest.raises(RuntimeError, match="another order"):
+            pages.Answers(folder, "0").totals(mark, names)
 
 
-def test_runs_of_any_length_give_the_same(spark):
+def test_blocks_and_buckets_of_any_number_give_the_same(spark):
     docs = rows()
-    found = [sorted(map(tuple, S.dedup(frame(spark, docs), size=64, q=5, block_bytes=900, run_names=n, buckets=b).select("id", "n_removed", "n_spans", "kept_sha256").collect()), key=str) for n, b in ((1, 2), (50, 64), (10**6, 1024))]
+    found = [sorted(map(tuple, S.dedup(frame(spark, docs), size=64, q=5, block_bytes=n, buckets=b).select("id", "n_removed", "n_spans", "kept_sha256").collect()), key=str) for n, b in ((300, 2), (5000, 64), (10**6, 4096))]
     assert found[0] == found[1] == found[2]
 
 

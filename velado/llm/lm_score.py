@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import U64, Words, held, mixed, scratch
 from .decontaminate import hashes
 from .features import terms
-from .pages import RUN, Answers, answered, buckets_for, distinct, gather, scan
+from .pages import Answers, answered, buckets_for, distinct, gather, scan
 
 #: The n-gram of no words, of which there are as many as words.
 NOTHING = U64(0x9D39247E33776D41)
@@ -84,7 +84,7 @@ def log_scores(totals: np.ndarray, back: np.ndarray, grams: np.ndarray, nothing:
     return out
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, buckets: int | None = None, run_names: int = RUN) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, buckets: int | None = None) -> DataFrame:
     """(id, n_words, log_score) of each row of docs under the counts of `corpus` (docs itself, if not given)."""
     buckets = buckets or buckets_for(docs if corpus is None else corpus, 8)
     how = {"id_col": id_col, "text_col": text_col, "block_bytes": block_bytes}
@@ -99,14 +99,13 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, *, order: int = 3, a
         return lambda part: of_block
 
     own = corpus is None
-    asked = gather(docs, ask(int(own)), buckets, run_names=run_names, **how)
+    asked = gather(docs, ask(int(own)), buckets, **how)
     if not own:
-        asked = asked.unionByName(gather(corpus, ask(1), buckets, prefix="corpus-", run_names=run_names, **how))
-    # An n-gram of docs itself that is not answered occurs once; one of another corpus, never.
-    folder = answered(asked, scratch(docs.sparkSession, "totals"), 1 + own, "corpus-")
+        asked = asked.unionByName(gather(corpus, ask(1), buckets, prefix="corpus-", **how))
+    folder = answered(asked, scratch(docs.sparkSession, "totals"), "corpus-")
 
     def sum_up(part: str):
-        known = Answers(folder, part, int(own), run_names)
+        known = Answers(folder, part)
         return lambda mark, ids, raws: of_block(known, mark, ids, raws)
 
     def of_block(known: Answers, mark: int, ids: pa.Array, raws: list[bytes]) -> Iterator[pa.RecordBatch]:

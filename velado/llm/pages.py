@@ -1,18 +1,17 @@
 """Totals of 64-bit hashes over a corpus, by pages.
 
-A task gathers the distinct hashes of its blocks of texts into runs (a run: as many blocks as hold about RUN hashes) and
-sends each run as sorted pages, one for each bucket, an equal range of hash values. The pages of a bucket meet in one task,
-which adds them up and answers each page with those of its hashes whose totals reach `least`; what is not answered has the
-total that the asker takes for granted (one, where it asked about what it counted itself). A partition's answers become one
-file in the shared folder, which the partition's next pass reads run by run. So the shuffle carries about 6 bytes a distinct
-hash and run, and no row a hash; a key that a third of all rows have is one entry a run.
+A block of texts (whole documents) asks about its distinct hashes, once each, however often it has them: sorted pages, one
+for each bucket, an equal range of hash values. The pages of a bucket meet in one task, which adds them up and answers each
+page with the totals of its hashes, in their order. A partition's answers become one file in the shared folder, which the
+partition's next pass reads block by block. So the shuffle carries about 6 bytes a distinct hash and block one way, one byte
+the other, and no row a hash; a key that a third of all rows have is one entry a block.
 
 Scale. Buckets grow with the scan's partitions, without a bound, so a bucket's pages stay a fixed share of what one
-partition holds. A page has about RUN / buckets hashes: with very many partitions, larger runs (more memory a task) keep
-pages long. Files are one a partition and pass.
+partition holds, and files are one a partition and pass. A page has a block's hashes divided by the buckets: with very many
+partitions larger blocks (`block_bytes`, more memory a task) keep pages long.
 
-Runs are known by the partition and their place in it; each pass over the same files meets the same ones. Fingerprints of
-their blocks guard this: if the input has changed meanwhile, or is no plain table and came in another order, the next pass
+Blocks are known by their partition and place in it; each pass over the same files meets the same ones. A fingerprint of the
+documents guards this: if the input has changed meanwhile, or is no plain table and came in another order, the next pass
 fails rather than give wrong results (write such a frame to a table first).
 
 Different texts share a 64-bit hash with a chance of about n^2 / 2^65 among n distinct ones.
@@ -33,9 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import U64, blocks, bucket_bounds, id_text, pack_page, unpack_page
 
-#: A page, or, where it is null, the fingerprints of a run's blocks.
-REQUEST = "part string, run int, bucket int, page binary, counts binary"
-RUN = 4_000_000
+REQUEST = "part string, block int, mark long, bucket int, page binary, counts binary"
+ANSWER = "part string, block int, mark long, bucket int, totals binary"
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -61,59 +59,29 @@ def fingerprint(ids: pa.Array, raws: list[bytes]) -> int:
     return zlib.crc32(repr((ids.to_pylist(), list(map(len, raws)))).encode())
 
 
-class Run:
-    """Sorted distinct hashes and counts of blocks, merged when the run ends."""
-
-    def __init__(self):
-        self.names: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.prints: list[int] = []
-        self.held = 0
-
-    def add(self, print_: int, names: np.ndarray, counts: np.ndarray) -> None:
-        self.prints.append(print_)
-        self.names.append(names)
-        self.counts.append(counts)
-        self.held += len(names)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.names) == 1:
-            return self.names[0], self.counts[0]
-        names = np.concatenate(self.names)
-        order = np.argsort(names, kind="stable")  # which merges what is sorted already
-        names, counts = names[order], np.concatenate(self.counts)[order]
-        at = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
-        return names[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
-def requests(part: str, number: int, run: Run, buckets: int) -> Iterator[pa.RecordBatch]:
-    names, counts = run.merged()
+def requests(part: str, block: int, mark: int, names: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Pages of a block's sorted distinct hashes."""
     ends = bucket_bounds(names, buckets)
     at = np.flatnonzero(np.diff(ends)).tolist()
-    pages = [(b, pack_page(names[ends[b] : ends[b + 1]]), pack_counts(counts[ends[b] : ends[b + 1]])) for b in at]
-    pages.append((zlib.crc32(f"{part} {number}".encode()) % buckets, None, np.array(run.prints, "<u4").tobytes()))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([part] * len(pages)), pa.array([number] * len(pages), pa.int32()), pa.array([x[0] for x in pages], pa.int32()), pa.array([x[1] for x in pages], pa.binary()), pa.array([x[2] for x in pages], pa.binary())],
-        names=["part", "run", "bucket", "page", "counts"],
-    )
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([part] * len(at), pa.string()), pa.array([block] * len(at), pa.int32()), pa.array([mark] * len(at), pa.int64()), pa.array(at, pa.int32()),
+            pa.array([pack_page(names[ends[b] : ends[b + 1]]) for b in at], pa.binary()), pa.array([pack_counts(counts[ends[b] : ends[b + 1]]) for b in at], pa.binary()),
+        ],
+        names=["part", "block", "mark", "bucket", "page", "counts"],
+    )
 
 
-def gather(docs: DataFrame, each: Callable[[str], Callable[[int, pa.Array, list[bytes]], tuple[np.ndarray, np.ndarray]]], buckets: int, *, prefix: str = "", run_names: int = RUN, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """One pass: the requests of all runs. each: a partition -> a block's (fingerprint, ids, texts) -> its sorted distinct
+def gather(docs: DataFrame, each: Callable[[str], Callable[[int, pa.Array, list[bytes]], tuple[np.ndarray, np.ndarray]]], buckets: int, *, prefix: str = "", id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """One pass: the requests of all blocks. each: a partition -> a block's (fingerprint, ids, texts) -> its sorted distinct
     hashes and their counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, run = str(TaskContext.get().partitionId()), 0, Run()
+        part = str(TaskContext.get().partitionId())
         own = each(part)
-        part = prefix + part
-        for ids, raws in blocks(batches, block_bytes):
-            if run.held >= run_names:
-                yield from requests(part, number, run, buckets)
-                number, run = number + 1, Run()
+        for k, (ids, raws) in enumerate(blocks(batches, block_bytes)):
             mark = fingerprint(ids, raws)
-            run.add(mark, *own(mark, ids, raws))
-        if run.prints:
-            yield from requests(part, number, run, buckets)
+            yield requests(prefix + part, k, mark, *own(mark, ids, raws), buckets)
 
     return id_text(docs, id_col, text_col).mapInArrow(ask, REQUEST)
 
@@ -134,98 +102,73 @@ def _system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def answered(asked: DataFrame, folder: str, least: int, silent: str | None = None) -> str:
-    """Adds up the pages of all runs and writes each partition's answers, totals of `least` and more, to a file in `folder`;
-    returns it. Partitions whose names begin with `silent` count, and get no answer."""
+def answered(asked: DataFrame, folder: str, silent: str | None = None) -> str:
+    """Adds up the pages of all blocks and writes each partition's totals to a file in `folder`; returns it. Partitions whose
+    names begin with `silent` count, and get no answer."""
 
     def add(table: pa.Table) -> pa.Table:
-        page, parts = table["page"].to_pylist(), table["part"].to_pylist()
-        own = [k for k, p in enumerate(page) if p is not None]
-        names = [unpack_page(page[k]) for k in own]
+        names = [unpack_page(p) for p in table["page"].to_pylist()]
         sizes = np.cumsum([0, *map(len, names)])
-        flat = np.concatenate(names) if names else np.empty(0, U64)
+        flat = np.concatenate(names)
         del names
-        counts = table["counts"].to_pylist()
-        order = np.argsort(flat, kind="stable")
-        new = np.append(True, np.diff(flat[order]) != 0) if len(flat) else np.empty(0, bool)
-        total = np.add.reduceat(np.concatenate([unpack_counts(counts[k]) for k in own])[order], np.flatnonzero(new)) if len(flat) else np.empty(0, np.int64)
+        order = np.argsort(flat, kind="stable")  # which merges what is sorted already
+        flat = flat[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        sums = np.add.reduceat(np.concatenate([unpack_counts(c) for c in table["counts"].to_pylist()])[order], np.flatnonzero(new))
         totals = np.empty(len(flat), np.int64)
-        totals[order] = total[np.cumsum(new) - 1]
-        out = {k: (None, counts[k]) for k, p in enumerate(page) if p is None}
-        for k, i, j in zip(own, sizes[:-1].tolist(), sizes[1:].tolist(), strict=True):
-            if silent is None or not parts[k].startswith(silent):
-                keep = totals[i:j] >= least
-                if keep.any():
-                    out[k] = (pack_page(flat[i:j][keep]), zlib.compress(pack_counts(totals[i:j][keep]), 1))
-        at = [k for k in sorted(out) if silent is None or not parts[k].startswith(silent)]
-        return table.take(pa.array(at, pa.int64())).select(["part", "run", "bucket"]).append_column("page", pa.array([out[k][0] for k in at], pa.binary())).append_column("counts", pa.array([out[k][1] for k in at], pa.binary()))
+        totals[order] = sums[np.cumsum(new) - 1]
+        at = [k for k, part in enumerate(table["part"].to_pylist()) if silent is None or not part.startswith(silent)]
+        out = [zlib.compress(pack_counts(totals[sizes[k] : sizes[k + 1]]), 1) for k in at]
+        return table.take(pa.array(at, pa.int64())).select(["part", "block", "mark", "bucket"]).append_column("totals", pa.array(out, pa.binary()))
 
     system, path = _system(folder)
     system.create_dir(path, recursive=True)
 
     def deliver(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        runs: dict[int, dict] = {}
-        for row in table.sort_by([("run", "ascending"), ("bucket", "ascending")]).to_pylist():
-            run = runs.setdefault(row["run"], {"prints": b"", "names": [], "totals": []})
-            if row["page"] is None:
-                run["prints"] = row["counts"]
-            else:
-                run["names"].append(unpack_page(row["page"]))
-                run["totals"].append(unpack_counts(zlib.decompress(row["counts"])))
-        flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        parts = [(r["prints"], pack_page(flat(r["names"], U64)), zlib.compress(pack_counts(flat(r["totals"], np.int64)), 1)) for _, r in sorted(runs.items())]
-        head = json.dumps([[len(x) for x in p] for p in parts]).encode()
+        part, found = table["part"][0].as_py(), {}
+        for row in table.sort_by([("block", "ascending"), ("bucket", "ascending")]).to_pylist():
+            found.setdefault((row["block"], row["mark"]), []).append(unpack_counts(zlib.decompress(row["totals"])))
+        blobs = {key: zlib.compress(pack_counts(np.concatenate(x)), 1) for key, x in found.items()}
+        head = json.dumps([[*key, len(x)] for key, x in blobs.items()]).encode()
         store, at = _system(folder)
         tmp = f"{at}/{part}.{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(tmp) as out:
             out.write(np.array([len(head)], "<i8").tobytes() + head)
-            for p in parts:
-                for x in p:
-                    out.write(x)
+            for x in blobs.values():
+                out.write(x)
         store.move(tmp, f"{at}/{part}")
         return pa.table({"part": [part]})
 
-    asked.groupBy("bucket").applyInArrow(add, REQUEST).groupBy("part").applyInArrow(deliver, "part string").count()
+    asked.groupBy("bucket").applyInArrow(add, ANSWER).groupBy("part").applyInArrow(deliver, "part string").count()
     return folder
 
 
 class Answers:
-    """A partition's answers, run by run. `totals` must be called once a block, in order, with the hashes that the block asked
-    about; hashes without an answer have the total `other`."""
+    """A partition's answers. `totals` must be called once a block, in order, with the hashes that the block asked about."""
 
-    def __init__(self, folder: str, part: str, other: int, run_names: int = RUN):
-        self.folder, self.part, self.other, self.run_names = folder, part, other, run_names
-        self.number, self.held, self.at, self.runs = -1, run_names, 0, None
+    def __init__(self, folder: str, part: str):
+        self.folder, self.part, self.block, self.places = folder, part, -1, None
 
-    def _load(self) -> None:
+    def totals(self, mark: int, names: np.ndarray) -> np.ndarray:
+        self.block += 1
+        if not len(names):
+            return np.empty(0, np.int64)
         store, at = _system(self.folder)
+        found = np.empty(0, np.int64)
         try:
             with store.open_input_file(f"{at}/{self.part}") as f:
-                if self.runs is None:
+                if self.places is None:
                     size = int(np.frombuffer(f.read_at(8, 0), "<i8")[0])
-                    self.runs, self.at = json.loads(f.read_at(size, 8)), 8 + size
-                sizes = self.runs[self.number] if self.number < len(self.runs) else [0, 0, 0]
-                prints, names, totals = (f.read_at(n, self.at + sum(sizes[:k])) for k, n in enumerate(sizes))
+                    head = json.loads(f.read_at(size, 8))
+                    starts = 8 + size + np.cumsum([0, *(n for *_, n in head)])
+                    self.places = {(block, own): (n, start) for (block, own, n), start in zip(head, starts.tolist(), strict=False)}
+                if place := self.places.get((self.block, mark)):
+                    found = unpack_counts(zlib.decompress(f.read_at(*place)))
         except FileNotFoundError:
-            prints = names = totals = b""
-            sizes = [0, 0, 0]
-        self.at += sum(sizes)
-        self.prints = np.frombuffer(prints, "<u4").tolist()[::-1]
-        self.names = unpack_page(names)
-        self.found = unpack_counts(zlib.decompress(totals)) if totals else np.empty(0, np.int64)
-
-    def totals(self, print_: int, names: np.ndarray) -> np.ndarray:
-        if self.held >= self.run_names:
-            self.number, self.held = self.number + 1, 0
-            self._load()
-        if not self.prints or self.prints.pop() != print_:
+            pass
+        if len(found) != len(names):
             raise RuntimeError("the input came in another order than in the pass before; write it to a table first")
-        self.held += len(names)
-        if not len(self.names):
-            return np.full(len(names), self.other, np.int64)
-        k = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[k] == names, self.found[k], self.other)
+        return found
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,8 +14,7 @@ A distributed difference-cover algorithm, for suffixes compared by their first 4
 The cover is a perfect difference set (Singer's, of a prime q: q + 1 of q^2 + q + 1), so q = 17 samples 18 of 307
 positions. Names replace the triples and the recursion of the cover modulo 3: a name already spans 94 bytes, and only
 equality within 400 bytes matters, not the full order. Sorting triples of all positions would shuffle over ten times the
-input (see README). Runs of blocks send each distinct name once (`pages`), so a text that a third of all rows share is one
-entry a run, and answers hold repeated names only.
+input (see README). Blocks send each distinct name once (`pages`), so a text that a third of all rows share is one entry a block.
 
 Nulls and edges: a null text counts as empty; texts under 400 bytes keep everything; matches never cross documents, but
 may lie in one document and may overlap; repeated rows are each other's matches. Further columns are ignored. Equal
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, by_doc, held, mixed, scratch, spans
-from .pages import RUN, Answers, answered, buckets_for, distinct, gather, scan
+from .pages import Answers, answered, buckets_for, distinct, gather, scan
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -125,13 +124,13 @@ def covered(length: int, at: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def dedup(docs: DataFrame, *, size: int = 400, q: int = 17, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 3_000_000, buckets: int | None = None, keep_text: bool = False, run_names: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, *, size: int = 400, q: int = 17, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, buckets: int | None = None, keep_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row; with keep_text also the remaining bytes as `kept`."""
     v = q * q + q + 1
     if size < v + 8:
         raise ValueError("strings must be longer than the cover's period")
     cover, short = difference_set(q), size - v + 1
-    buckets = buckets or buckets_for(docs, 2)
+    buckets = buckets or buckets_for(docs, 4)
     how = {"id_col": id_col, "text_col": text_col, "block_bytes": block_bytes}
     spark = docs.sparkSession
 
@@ -145,7 +144,7 @@ def dedup(docs: DataFrame, *, size: int = 400, q: int = 17, id_col: str = "doc_i
     def ask_names(part: str):
         return lambda mark, ids, raws: names_of(raws)[::2]
 
-    first = answered(gather(docs, ask_names, buckets, run_names=run_names, **how), scratch(spark, "names"), 2)
+    first = answered(gather(docs, ask_names, buckets, **how), scratch(spark, "names"))
 
     def remaining(known: Answers, mark: int, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By chunk: starts, lengths, positions of the suffixes that remain, and their names."""
@@ -170,13 +169,13 @@ def dedup(docs: DataFrame, *, size: int = 400, q: int = 17, id_col: str = "doc_i
         return parts, distinct(np.concatenate([x for *_, x in parts] or [np.empty(0, U64)]))
 
     def ask_suffixes(part: str):
-        known = Answers(first, part, 1, run_names)
+        known = Answers(first, part)
         return lambda mark, ids, raws: suffixes_of(known, mark, raws)[1][::2]
 
-    second = answered(gather(docs, ask_suffixes, buckets, run_names=run_names, **how), scratch(spark, "suffixes"), 2)
+    second = answered(gather(docs, ask_suffixes, buckets, **how), scratch(spark, "suffixes"))
 
     def cut(part: str):
-        known, repeated = Answers(first, part, 1, run_names), Answers(second, part, 1, run_names)
+        known, repeated = Answers(first, part), Answers(second, part)
         return lambda mark, ids, raws: cut_block(known, repeated, mark, ids, raws)
 
     def cut_block(known: Answers, repeated: Answers, mark: int, ids: pa.Array, raws: list[bytes]) -> Iterator[pa.RecordBatch]:
