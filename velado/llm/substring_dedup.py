@@ -130,7 +130,7 @@ def dedup(docs: DataFrame, *, size: int = 400, q: int = 17, id_col: str = "doc_i
     if size < v + 8:
         raise ValueError("strings must be longer than the cover's period")
     cover, short = difference_set(q), size - v + 1
-    buckets = buckets or buckets_for(docs, 4)
+    buckets = buckets or buckets_for(docs, 8)
     how = {"id_col": id_col, "text_col": text_col, "block_bytes": block_bytes}
     spark = docs.sparkSession
 
