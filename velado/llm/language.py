@@ -246,8 +246,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         chosen = chosen.unionByName(x)
     # At most one row of an id, so at most `rows` of them: repeated ids count against the bound, and of their texts one trains.
     chosen = chosen.groupBy("id").agg(F.min("lang").alias("lang"))
-    texts = id_text(docs, id_col, text_col, lang_col).toDF("id", "raw", "lang").join(F.broadcast(chosen), ["id", "lang"])
-    texts = texts.groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("raw").alias("hash"), "raw")).alias("one")).select("id", "one.raw", "lang")
+    texts = id_text(docs, id_col, text_col, lang_col).toDF("id", "raw", "lang").join(F.broadcast(chosen), ["id", "lang"]).select("id", "raw", "lang", F.xxhash64("raw").alias("hash"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,10 +255,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 w = units_of(raw)
                 at = xxhash.xxh32_intdigest(str(k)) % max(1, len(w) - words + 1)
                 found.append(w[at : at + words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], names=["id", "words", "lang"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2), batch.column(3)], names=["id", "words", "lang", "hash"])
 
     number = {x: k for k, x in enumerate(labels)}
-    got = sorted(texts.mapInArrow(cut, "id long, words array<string>, lang string").collect(), key=lambda r: (r.id, r.words))
+    pieces = texts.mapInArrow(cut, "id long, words array<string>, lang string, hash long").groupBy("id", "lang").agg(F.min(F.struct("hash", "words")).alias("one"))
+    got = sorted(pieces.select("id", "one.words", "lang").collect(), key=lambda r: (r.id, r.words))
     return CRF(labels, **options).fit([(r.words, number[r.lang]) for r in got])
 
 

@@ -187,20 +187,20 @@ def bags_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, bits
         return bool(held) and bool(held[at >> 3] >> (at & 7) & 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags, last = Bags(), set()
+        bags, seen = Bags(), set()
         for _, raws in blocks(batches, 500_000):
             h, c, n = bags(raws)
             ends = np.cumsum(n).tolist()
             found = {}
             for e, k in zip(ends, n.tolist(), strict=True):
-                if k and (node := node_of(bag := pack_bag(h[e - k : e], c[e - k : e]))) not in last and maybe(node):
+                if k and (node := node_of(bag := pack_bag(h[e - k : e], c[e - k : e]))) not in seen and maybe(node):
                     found[node] = bag
-            last = set(found)
+            seen.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["node", "bag"])
 
     all_ = id_text(docs, id_col, text_col).mapInArrow(pack, "node binary, bag binary")
-    # Copies have equal bags, so any one of them serves. A task keeps one of each before the shuffle, however many it has.
-    return all_.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node", "left_semi")
+    # Copies have equal bags, so any one of them serves; a task sends one of each, however many it has.
+    return all_.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
 
 
 def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
