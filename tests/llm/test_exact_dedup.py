@@ -29,7 +29,7 @@ def key(r):
 ROWS = [*corpus(), (None, " A\tb"), (9999, "A b    \n"), (9998, "A  b  \n "), (50, " "), (51, "  ")]
 
 
-@pytest.mark.parametrize("options", [{}, {"memtable_rows": 7, "buckets": 4, "salts": 2}, {"digest_size": 1, "buckets": 2}])
+@pytest.mark.parametrize("options", [{}, {"memtable_rows": 7, "buckets": 4}, {"digest_size": 1, "buckets": 2}])
 def test_groups_equal_brute_force(spark, options):
     """With digests of one byte nearly all collide, and the texts themselves decide."""
     got = [(r.id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in E.groups(frame(spark, ROWS), **options).collect()]

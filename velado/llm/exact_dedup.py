@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, id_text, mixed, scratch, written
@@ -202,9 +202,9 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes]
     return id_text(docs, id_col, text_col).mapInArrow(digests, "id long, n_chars long, digest binary, maybe_hit boolean" + ", norm binary" * texts)
 
 
-def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int | None, memtable_rows: int, digest_size: int, salts: int) -> tuple[DataFrame, list[bytes]]:
-    """What the index says of digests with several rows, each verified: (digest, full, keep_id, keep_chars, group_size,
-    salt), a row for each salt; and the filter of these digests. `full` is set where the digest alone does not tell."""
+def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int | None, memtable_rows: int, digest_size: int) -> tuple[DataFrame, list[bytes]]:
+    """What the index says of digests with several rows, each verified: (digest, full, keep_id, keep_chars, group_size);
+    and the filter of these digests. `full` is set where the digest alone does not tell."""
     index = LsmIndex(docs.sparkSession, buckets=buckets or buckets_for(docs), memtable_rows=memtable_rows, digest_size=digest_size).add(docs, id_col, text_col).compact()
     slices = index.hit_filter()
     # Byte verification: the distinct texts of each hit; copies collapse before the shuffle.
@@ -213,42 +213,46 @@ def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int | No
     clashing = distinct.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
     by_text = distinct.join(clashing, "digest", "left_semi").select("digest", F.sha2("norm", 256).alias("full"), F.col("best.id").alias("keep_id"), (-F.col("best.minus")).alias("keep_chars"), F.col("size").alias("group_size"))
     by_digest = index.hits().join(clashing, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("full"), "keep_id", "keep_chars", "group_size")
-    return by_digest.unionByName(by_text).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), slices
+    return by_digest.unionByName(by_text), slices
 
 
-def _decided(rows: DataFrame, groups_: DataFrame, digest_size: int, salts: int, carried: list[str]) -> DataFrame:
-    """rows (id, n_chars, digest, and carried columns) with full, keep_id, keep_chars, group_size and kept.
+def _decided(rows: DataFrame, groups_: DataFrame, digest_size: int, carried: list[str], salts: int = 16) -> DataFrame:
+    """rows (row, id, n_chars, digest, and carried columns) with full, keep_id, keep_chars, group_size and kept.
 
-    Rows of large groups are salted by id before they meet their group's one entry.
+    rows must be a table, so that `row` stays what it is. Which of the rows that repeat id, text and length stays is an
+    aggregate that tasks reduce first; then a group's rows, salted by row, meet copies of its one entry.
     """
     key = F.col("digest") if digest_size == 32 else F.rpad(F.substring("digest", 1, digest_size), 32, F.lit(b"\0"))
-    rows = rows.withColumn("full", F.lower(F.hex("digest"))).withColumn("key", key).withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
-    g = groups_.withColumnRenamed("full", "g_full").withColumnRenamed("salt", "g_salt").withColumnRenamed("digest", "g_digest")
-    joined = rows.join(g, (F.col("key") == F.col("g_digest")) & (F.col("salt") == F.col("g_salt")) & (F.col("g_full").isNull() | (F.col("g_full") == F.col("full"))), "left")
-    best = (F.coalesce("id", F.lit(NO_ID)) == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    # Rows that share id, text and length are one row repeated: the first of them stays.
-    nth = F.row_number().over(Window.partitionBy("key", "salt", "id", "full", "n_chars").orderBy("key"))
+    rows = rows.withColumn("full", F.lower(F.hex("digest"))).withColumn("key", key)
+    order = F.struct(F.col("n_chars") * -1, F.coalesce("id", F.lit(NO_ID)), "row")
+    first = rows.groupBy(F.col("key").alias("f_key"), F.col("full").alias("f_full")).agg(F.min_by("row", order).alias("first_row"))
+    g = groups_.withColumnRenamed("full", "g_full").withColumnRenamed("digest", "g_digest")
+    same = lambda k, full: (F.col(k) == F.col("g_digest")) & (F.col("g_full").isNull() | (F.col("g_full") == F.col(full)))
+    g = g.join(first, same("f_key", "f_full")).drop("f_key", "f_full")
+    g = g.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = rows.join(g, same("key", "full") & (F.pmod(F.hash("row"), F.lit(salts)) == F.col("g_salt")), "left")
+    best = (F.coalesce("id", F.lit(NO_ID)) == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")) & (F.col("row") == F.col("first_row"))
     return joined.select(
         "id", "n_chars", "full", *carried,
         F.when(F.col("keep_id").isNull(), F.col("id")).when(F.col("keep_id") != NO_ID, F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("keep_id").isNull(), True).otherwise(best & (nth == 1)).alias("kept"),
+        F.when(F.col("keep_id").isNull(), True).otherwise(best).alias("kept"),
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32) -> DataFrame:
     """A row for each row of docs: id, n_chars, text_sha256, keep_id, group_size, kept."""
-    of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size, salts=salts)
-    rows = written(with_digest(docs, id_col, text_col, slices, digest_size), "digests")
+    of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size)
+    rows = written(with_digest(docs, id_col, text_col, slices, digest_size).withColumn("row", F.monotonically_increasing_id()), "digests")
     # Only possible hits meet the index's entries; a row that surely is alone stays where it is.
     alone = rows.filter("not maybe_hit").select("id", "n_chars", F.lower(F.hex("digest")).alias("full"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    doubt = _decided(rows.filter("maybe_hit").drop("maybe_hit"), of_group, digest_size, salts, [])
+    doubt = _decided(rows.filter("maybe_hit").drop("maybe_hit"), of_group, digest_size, [])
     return alone.unionByName(doubt).withColumnRenamed("full", "text_sha256")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32, salts: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32) -> DataFrame:
     """The rows of docs that stay, with all their columns; only possible hits are shuffled."""
-    of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size, salts=salts)
+    of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size)
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     columns = own.columns
     schema = own.schema.add("id", "long").add("n_chars", "long").add("digest", "binary").add("maybe_hit", "boolean")
@@ -262,7 +266,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([code_points(raw) for raw in raws], pa.int64()), pa.array(found, pa.binary()), pa.array(_maybe(short, slices))], names=[x.name for x in schema])
 
     marked = own.withColumn("id", own[f"c{docs.columns.index(id_col)}"].cast("long")).withColumn("raw", raw).mapInArrow(mark, schema)
-    doubt = _decided(marked.filter("maybe_hit"), of_group, digest_size, salts, columns).filter("kept").select(columns)
+    maybe = written(marked.filter("maybe_hit").withColumn("row", F.monotonically_increasing_id()), "possible-hits")
+    doubt = _decided(maybe, of_group, digest_size, columns).filter("kept").select(columns)
     return marked.filter("not maybe_hit").select(columns).unionByName(doubt).toDF(*docs.columns)
 
 
