@@ -13,7 +13,6 @@ import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -249,9 +248,10 @@ class IdFilter:
     def column(self, col):
         """A boolean column: whether a long column's value may be among the ids (false for null)."""
 
-        @F.pandas_udf("boolean")
-        def maybe_among(x: pd.Series) -> pd.Series:
-            return pd.Series(self.maybe(x.fillna(0).to_numpy(np.int64)) & x.notna().to_numpy())
+        @F.arrow_udf("boolean")
+        def maybe_among(x: pa.Array) -> pa.Array:
+            known = x.is_valid().to_numpy(zero_copy_only=False)
+            return pa.array(self.maybe(x.fill_null(0).to_numpy(zero_copy_only=False)) & known)
 
         return maybe_among(col)
 
