@@ -70,11 +70,17 @@ def held(key: tuple, make):
     """What a worker process keeps from task to task, such as a table of frequent words: one thing at a time, so that the
     tables of a stage that is over do not weigh on the next."""
     if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """For operators that hold nothing: what an earlier one left in this worker process goes."""
+    if _held:
         _held.clear()
         gc.collect()
         give_back()
-        _held[key] = make()
-    return _held[key]
 
 
 class Words(dict):

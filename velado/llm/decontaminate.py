@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, id_text, scratch, spans
+from .common import Words, blocks, id_text, let_go, scratch, spans
 from .features import terms
 
 SEGMENT = "segment string, doc_ids array<long>, starts binary, words binary, terms binary, ends binary, positions binary"
@@ -112,6 +112,7 @@ def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     """Writes the index of docs to `path` and returns its rows."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, words, known = TaskContext.get().partitionId(), Words(), np.empty(0, np.uint64)
         for k, (ids, raws) in enumerate(blocks(batches, segment_bytes)):
             if left := words.trim():

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ragged, Words, blocks, by_doc, id_text
+from .common import Ragged, Words, blocks, by_doc, id_text, let_go
 from .features import in_fold
 
 BITS = 18
@@ -283,12 +283,14 @@ def predict(docs: DataFrame, model: CRF, *, id_col: str = "doc_id", text_col: st
         return names[np.where(known, best, len(model.labels))].tolist(), score, n, by_doc(switch, n)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         labeller = Labeller(model)
         for ids, raws in blocks(batches, block_bytes):
             lang, score, n, switches = label(raws, labeller)
             yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score), pa.array(n), pa.array(switches)], names=["id", "lang_pred", "score", "n_words", "n_switches"])
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         labeller = Labeller(model)
         for batch in batches:
             raws = batch.column(batch.num_columns - 1)

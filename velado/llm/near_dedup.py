@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tables, Words, blocks, id_text, mixed, spans, without, written
+from .common import U64, Tables, Words, blocks, id_text, let_go, mixed, spans, without, written
 from .decontaminate import hashes
 from .features import terms
 
@@ -149,6 +149,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, node, sig) of each row; node, the digest of the multiset, and sig are null where there are no words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         bags = Bags()
         for ids, raws in blocks(batches, block_bytes):
             h, c, n = bags(raws)
@@ -187,6 +188,7 @@ def bags_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, bits
         return bool(held) and bool(held[at >> 3] >> (at & 7) & 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         bags, seen = Bags(), set()
         for _, raws in blocks(batches, 500_000):
             h, c, n = bags(raws)
