@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, id_text, mixed, scratch, written
+from .files import Rows, numbered, saved
 
 SPACE = b"\t\n\x0b\x0c\r "
 TAIL = bytes(range(0x80, 0xC0))
@@ -120,21 +121,32 @@ class LsmIndex:
 
         self.flushed += 1
         path = f"{self.path}/level0-{self.flushed}"
-        id_text(docs, id_col, text_col).mapInArrow(flush_runs, PAGE).write.parquet(path)
+        saved(id_text(docs, id_col, text_col), flush_runs, PAGE, path)
         self.runs.append(path)
         return self
 
     def compact(self) -> LsmIndex:
         """Merges all runs; a bucket's pages meet in one task, and a digest has one entry a memtable at most there."""
 
-        def merge(table: pa.Table) -> pa.Table:
-            col = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        def merged(pages: list[dict]) -> pa.RecordBatch:
+            col = lambda name, kind: np.frombuffer(b"".join(page[name] for page in pages), kind)
             found = _merged(col("digests", ">u8").reshape(-1, 4).astype(U64), col("chars", "<i8"), col("ids", "<i8"), col("counts", "<i8"))
-            return pa.Table.from_pylist([_page(table["bucket"][0].as_py(), *found)], schema=_ARROW_PAGE)
+            return pa.RecordBatch.from_pylist([_page(pages[0]["bucket"], *found)], schema=_ARROW_PAGE)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[dict] = []
+            for batch in batches:
+                for page in batch.to_pylist():
+                    if held and held[0]["bucket"] != page["bucket"]:
+                        yield merged(held)
+                        held = []
+                    held.append(page)
+            if held:
+                yield merged(held)
 
         path = f"{self.path}/level1-{self.flushed}"
         pages = self.spark.read.schema(PAGE).parquet(*self.runs, *([self.merged] if self.merged else []))
-        pages.groupBy("bucket").applyInArrow(merge, PAGE).write.parquet(path)
+        saved(pages.repartition("bucket").sortWithinPartitions("bucket"), merge, PAGE, path)
         self.runs, self.merged = [], path
         return self
 
@@ -183,8 +195,11 @@ def _maybe(digests: list[bytes], slices: list[bytes]) -> np.ndarray:
     return maybe
 
 
-def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes], digest_size: int = 32, texts: bool = False) -> DataFrame:
-    """(id, n_chars, digest, maybe_hit), or, if asked for, with the index's digest and the normalised text of possible hits."""
+DIGESTS = "id long, n_chars long, digest binary, maybe_hit boolean"
+
+
+def digests_of(slices: list[bytes], digest_size: int = 32, texts: bool = False) -> Rows:
+    """(id, raw) -> DIGESTS, or, if asked for, with the index's digest and the normalised text (norm) of possible hits."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +214,7 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str, slices: list[bytes]
                 names.append("norm")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(digests, "id long, n_chars long, digest binary, maybe_hit boolean" + ", norm binary" * texts)
+    return digests
 
 
 def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int | None, memtable_rows: int, digest_size: int) -> tuple[DataFrame, list[bytes]]:
@@ -208,7 +223,7 @@ def hit_groups(docs: DataFrame, id_col: str, text_col: str, *, buckets: int | No
     index = LsmIndex(docs.sparkSession, buckets=buckets or buckets_for(docs), memtable_rows=memtable_rows, digest_size=digest_size).add(docs, id_col, text_col).compact()
     slices = index.hit_filter()
     # Byte verification: the distinct texts of each hit; copies collapse before the shuffle.
-    texts = with_digest(docs, id_col, text_col, slices, digest_size, texts=True).filter("maybe_hit")
+    texts = id_text(docs, id_col, text_col).mapInArrow(digests_of(slices, digest_size, texts=True), f"{DIGESTS}, norm binary").filter("maybe_hit")
     distinct = texts.groupBy("digest", "norm").agg(F.min(F.struct((-F.col("n_chars")).alias("minus"), F.coalesce("id", F.lit(NO_ID)).alias("id"))).alias("best"), F.count("*").alias("size"))
     clashing = distinct.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
     by_text = distinct.join(clashing, "digest", "left_semi").select("digest", F.sha2("norm", 256).alias("full"), F.col("best.id").alias("keep_id"), (-F.col("best.minus")).alias("keep_chars"), F.col("size").alias("group_size"))
@@ -243,7 +258,7 @@ def _decided(rows: DataFrame, groups_: DataFrame, digest_size: int, carried: lis
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None, memtable_rows: int = 200_000, digest_size: int = 32) -> DataFrame:
     """A row for each row of docs: id, n_chars, text_sha256, keep_id, group_size, kept."""
     of_group, slices = hit_groups(docs, id_col, text_col, buckets=buckets, memtable_rows=memtable_rows, digest_size=digest_size)
-    rows = written(with_digest(docs, id_col, text_col, slices, digest_size).withColumn("row", F.monotonically_increasing_id()), "digests")
+    rows = saved(id_text(docs, id_col, text_col), numbered(digests_of(slices, digest_size)), f"{DIGESTS}, row long", scratch(docs.sparkSession, "digests"))
     # Only possible hits meet the index's entries; a row that surely is alone stays where it is.
     alone = rows.filter("not maybe_hit").select("id", "n_chars", F.lower(F.hex("digest")).alias("full"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     doubt = _decided(rows.filter("maybe_hit").drop("maybe_hit"), of_group, digest_size, [])
