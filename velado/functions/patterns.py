@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # The patterns decide what counts as a hit.
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?U)(?:\+55\s*)?(?:\(?\d{2}\)?\s*)?(?:9\d{4}|\d{4})[-\s]\d{4}\b"
+PHONE_CORE = r"(?U)\d{4}[-\s]\d{4}\b"  # the end of every hit of PHONE
 CPF = r"(?U)\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"
 CPF_BARE = r"(?U)(?iU:\bCPF\b\s*(?:n[º°.]?|:\s*)?)\s*(\b\d{11}\b)"
 RG = r"(?U)(?iU:\b(?:RG|Identidade)\b\s*(?:n[º°.]?|:\s*)?)\s*([0-9A-Za-z.-]+\s?[0-9A-Za-z]*)"
@@ -40,6 +41,15 @@ ANCHORS = (
 )
 BETWEEN_LETTERS = r"[\s\u00A0\u200B\u200C\u200D\u00AD._-]*"
 BETWEEN_WORDS = r"(?:[\s\u00A0\u200B\r\n\t]+|(?:-\s*[\r\n]+\s*))"
+#: What may stand between the letters or words of a term, and terms that have none of it at an end and no other sign than ASCII's.
+SQUEEZED = r"(?U)[\s\u00A0\u200B\u200C\u200D\u00AD._-]+"
+PLAIN = r"^[0-9A-Za-z](?:[ -~]*[0-9A-Za-z])?$"
+_CAPITALS = "".join(map(chr, range(65, 91)))
+
+
+def folded(x: Column) -> Column:
+    """Without the case that (?iU) ignores in ASCII letters; as long as before."""
+    return F.translate(x, _CAPITALS + "\u212A\u017F\u0130\u0131", _CAPITALS.lower() + "ksii")
 
 
 def _literal(ch: str) -> str:

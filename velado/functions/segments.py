@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Stands where a text is to be cut. Java builds a pattern anew at each split, unless it is one plain character.
+CUT = "\uffff"
+
+
 def gaps(text: Column, pattern: str) -> Column:
-    return F.split(text, pattern, -1)
+    return F.when(text.contains(CUT), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, CUT), CUT, -1))
 
 
 def hits(text: Column, pattern: str, group: int = 0) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -26,7 +26,7 @@ from ..functions.canonical import initials, mask_cpf, mask_seven_digits
 from ..functions.gazetteer import METADATA_STOPWORDS
 from ..functions.names import extract_names
 from ..functions.phone import is_phone
-from ..functions.segments import gaps, hits
+from ..functions.segments import CUT, gaps, hits
 from .document_mode import DocOptions, mask
 
 # The phrases that place codes on a page.
@@ -36,16 +36,25 @@ BOX = ["doc_id", "page", "x0", "y0", "x1", "y1", "tipo", "rotulo", "fill"]
 _WANTED = "array<struct<tipo: string, term: string, rotulo: string, fill: array<double>>>"
 
 
-def page_texts(words: DataFrame) -> DataFrame:
-    """(doc_id, page, words, text): words as an array with their places in the text. A page is one row, not a document."""
-    order = Window.partitionBy("doc_id", "page").orderBy("line_no", "word_no", "x0", "y0", "x1", "y1", "text")
-    w = words.select("doc_id", "page", "line_no", "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("word"), F.row_number().over(order).alias("n"), F.lag("line_no").over(order).alias("above"))
-    w = w.withColumn("sep", F.when(F.col("n") == 1, "").when(F.col("above").eqNullSafe(F.col("line_no")), " ").otherwise("\n"))
-    upto = Window.partitionBy("doc_id", "page").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = w.withColumn("end", F.sum(F.length("sep") + F.length("word")).over(upto).cast("int"))
-    w = w.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", "line_no", "x0", "y0", "x1", "y1", (F.col("end") - F.length("word")).alias("begin"), "end", "sep", "word"))).alias("w"))
-    placed = F.transform("w", lambda x: F.struct(*(x[c].alias(c) for c in ("line_no", "x0", "y0", "x1", "y1", "begin", "end"))))
-    return w.select("doc_id", "page", placed.alias("words"), F.array_join(F.transform("w", lambda x: F.concat(x["sep"], x["word"])), "").alias("text"))
+def page_texts(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, words, text, apart[, height]): words as an array, and the text with another sign between words.
+
+    A page is one row, not a document. With pages, also the height of each; of a page given twice, the greatest. Words and
+    heights meet in one shuffle, and a page's words are put in order within its row.
+    """
+    word = F.struct("line_no", "word_no", "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("word"))
+    w, more = words.select("doc_id", "page", word.alias("w")), []
+    if pages is not None:
+        none = F.lit(None).cast(w.schema["w"].dataType)
+        w = w.withColumn("height", F.lit(None).cast(pages.schema["height"].dataType)).unionByName(pages.select("doc_id", "page", none.alias("w"), "height"))
+        more = [F.max("height").alias("height")]
+    w = w.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("w")).alias("w"), *more).filter(F.size("w") > 0)
+    above = lambda i: F.get(F.col("w"), i - 1)["line_no"]
+    parts = F.transform("w", lambda x, i: F.concat(F.when(i == 0, "").when(above(i).eqNullSafe(x["line_no"]), " ").otherwise("\n"), x["word"]))
+    apart, own = F.array_join(F.col("w")["word"], CUT), F.transform(F.col("w")["word"], lambda x: F.translate(x, CUT, " "))
+    apart = F.when(_count(apart) == F.size("w") - 1, apart).otherwise(F.array_join(own, CUT))
+    placed = [F.col("w").alias("words"), F.array_join(parts, "").alias("text"), apart.alias("apart")]
+    return w.select("doc_id", "page", *placed, *(["height"] if more else []))
 
 
 def _once(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -53,35 +62,75 @@ def _once(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), 0)
 
 
+def _count(apart: Column) -> Column:
+    return F.length(apart) - F.length(F.replace(apart, F.lit(CUT), F.lit("")))
+
+
 def _spans(text: Column, pattern: Column) -> Column:
     """An array of (begin, end) of a pattern's matches."""
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin: int, end: int>>").alias("found"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<begin: int, end: int>>").alias("found"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
-        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(begin.alias("begin"), end.alias("end"))).alias("found"))
+    def add(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        found = F.when(acc["hit"], F.array_append(acc["found"], F.struct(acc["at"].alias("begin"), end.alias("end")))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), found.alias("found"))
 
-    def of(cut: Column) -> Column:
-        return F.aggregate(F.transform(cut["hits"], lambda h, i: F.struct(F.length(F.get(cut["gaps"], i)).alias("gap"), F.length(h).alias("hit"))), none, add)["found"]
+    # Gap, hit, gap ... gap; a text that has the sign itself is cut by the pattern.
+    plain = F.split(F.regexp_replace(text, pattern, F.lit(f"{CUT}$0{CUT}")), CUT, -1)
+    alike = _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), lambda c: F.flatten(F.transform(c["gaps"], lambda g, i: F.when(i < F.size(c["hits"]), F.array(g, F.get(c["hits"], i))).otherwise(F.array(g)))))
+    return F.aggregate(F.when(text.contains(CUT), alike).otherwise(plain), none, add)["found"]
+
+
+def _term_spans(term: Column) -> Column:
+    """The spans of P.tolerant_col(term) in `text`, of which `folded` is P.folded and `squeezed` that without what may stand
+    between letters.
+
+    Each occurrence has the term's squeezed letters in `squeezed`. Where those come once, and the term itself stands in the
+    text, that is the only occurrence, and no pattern needs to be built. Terms of other than plain characters, or with a
+    sign at an end that may be between letters, take the pattern.
+    """
 
-    return _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), of)
+    def of(t: Column) -> Column:
+        letters = F.regexp_replace(t, P.SQUEEZED, "")
+
+        def placed(x: Column) -> Column:
+            at = x["at"] - 1
+            found = F.array(F.struct(at.cast("int").alias("begin"), (at + F.length(t)).cast("int").alias("end")))
+            return F.when((x["at"] > 0) & (x["again"] == 0), found).otherwise(_spans(F.col("text"), P.tolerant_col(term)))
+
+        again = _once(letters, lambda s: F.position(s, F.col("squeezed"), F.position(s, F.col("squeezed")) + 1))
+        return _once(F.struct(F.position(t, F.col("folded")).alias("at"), again.alias("again")), placed)
+
+    return F.when(term.rlike(P.PLAIN), _once(P.folded(term), of)).otherwise(_spans(F.col("text"), P.tolerant_col(term)))
 
 
 def _lines(begin: Column, end: Column) -> Column:
     """An array of boxes (x0, y0, x1, y1): of each line, around the words that a span touches."""
+    box = ("x0", "y0", "x1", "y1")
 
     def of(touched: Column) -> Column:
         def line(n: Column) -> Column:
-            return _once(F.filter(touched, lambda w: w["line_no"].eqNullSafe(n)), lambda own: F.struct(*(f(F.transform(own, lambda w: w[c])).alias(c) for c, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)))))  # noqa: B023
+            return _once(F.filter(touched, lambda w: w["line_no"].eqNullSafe(n)), lambda own: F.struct(*(f(F.transform(own, lambda w: w[c])).alias(c) for c, f in zip(box, (F.array_min, F.array_min, F.array_max, F.array_max), strict=True))))  # noqa: B023
+
+        several = F.transform(F.array_distinct(F.transform(touched, lambda w: w["line_no"])), line)
+        return F.when(F.size(touched) == 1, F.transform(touched, lambda w: F.struct(*(w[c].alias(c) for c in box)))).otherwise(several)
 
-        return F.transform(F.array_distinct(F.transform(touched, lambda w: w["line_no"])), line)
+    return _once(_touched(begin, end), of)
 
-    return _once(F.filter("words", lambda w: (w["begin"] < end) & (w["end"] > begin)), of)
+
+def _touched(begin: Column, end: Column) -> Column:
+    """The words that a span touches.
+
+    Words end where a sign between words stands: a span's first word has as many before it as the text up to and with the
+    span's first letter, its last word as many as the text before the span's last letter.
+    """
+    upto = lambda n: _count(F.left(F.col("apart"), n))
+    return _once(upto(begin + 1), lambda low: F.slice("words", low + 1, upto(end - 1) - low + 1))
 
 
-def _places(pattern: Column) -> Column:
-    """The boxes of all matches of a pattern in a row of page_texts."""
-    return F.flatten(F.transform(_spans(F.col("text"), pattern), lambda s: _lines(s["begin"], s["end"])))
+def _places(spans: Column) -> Column:
+    """The boxes of spans in a row of page_texts."""
+    return F.flatten(F.transform(spans, lambda s: _lines(s["begin"], s["end"])))
 
 
 def _fill(rgb: Iterable[float] | None) -> Column:
@@ -91,32 +140,34 @@ def _fill(rgb: Iterable[float] | None) -> Column:
 class Rule:
     """Values that a pattern finds on a page, or that stand in a column, and how their boxes look.
 
-    keep: (hit, i, gaps, hits) -> whether it counts; gate: box -> whether it lies where such values are covered.
+    keep: (hit, i, gaps, hits) -> whether it counts; guard: a pattern that every page with a hit has, cheaper than its own
+    if there is one; "" where most pages have a hit.
     """
 
-    def __init__(self, tipo: str, pattern: str, group: int = 0, label: Callable[[Column], Column] | str = "", fill: Iterable[float] | None = None, keep: Callable | None = None):
-        self.tipo, self.pattern, self.group, self.fill, self.keep = tipo, pattern, group, fill, keep
+    def __init__(self, tipo: str, pattern: str, group: int = 0, label: Callable[[Column], Column] | str = "", fill: Iterable[float] | None = None, keep: Callable | None = None, guard: str | None = None):
+        self.tipo, self.pattern, self.group, self.fill, self.keep, self.guard = tipo, pattern, group, fill, keep, pattern if guard is None else guard
         self.label = label if callable(label) else lambda _: F.lit(label)
 
     def values(self, texts: DataFrame, at: str) -> DataFrame:
         """texts with a column `at` of this rule's (tipo, term, rotulo, fill), each term once."""
+        none = F.array().cast(_WANTED)
         if self.keep is None:
-            terms = hits(F.col("text"), self.pattern, self.group)
+            found = self.wanted(hits(F.col("text"), self.pattern, self.group))
         else:
-            texts = texts.withColumn(f"{at}_g", gaps(F.col("text"), self.pattern)).withColumn(f"{at}_h", hits(F.col("text"), self.pattern))
-            g, h = F.col(f"{at}_g"), F.col(f"{at}_h")
-            terms = F.transform(h, lambda x, i: F.when(self.keep(x, i, g, h), x))
-        return texts.withColumn(at, self.wanted(terms)).drop(f"{at}_g", f"{at}_h")
+            cut = lambda h: F.struct(gaps(F.col("text"), self.pattern).alias("g"), h.alias("h"))
+            kept = lambda c: F.transform(c["h"], lambda x, i: F.when(self.keep(x, i, c["g"], c["h"]), x))
+            found = self.wanted(_once(cut(hits(F.col("text"), self.pattern)), kept))
+        return texts.withColumn(at, F.when(F.col("text").rlike(self.guard), found).otherwise(none) if self.guard else found)
 
     def wanted(self, terms: Column) -> Column:
         own = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != ""))
         return F.transform(own, lambda t: F.struct(F.lit(self.tipo).alias("tipo"), t.alias("term"), self.label(t).alias("rotulo"), _fill(self.fill))).cast(_WANTED)
 
 
-EMAIL_RULE, PHONE_RULE = Rule("email", P.EMAIL, 0, "[E-MAIL]"), Rule("telefone", P.PHONE, 0, "[TEL]", keep=is_phone)
+EMAIL_RULE, PHONE_RULE = Rule("email", P.EMAIL, 0, "[E-MAIL]", guard="@"), Rule("telefone", P.PHONE, 0, "[TEL]", keep=is_phone, guard=P.PHONE_CORE)
 CPF_RULES = (Rule("cpf", P.CPF, 0, mask_cpf), Rule("cpf", P.CPF_BARE, 1, mask_cpf))
 RG_RULES = (Rule("rg", P.RG, 1, "RG: XXXXXX"), Rule("data_exp", P.ISSUE_DATE, 0, "Data de Expedição: XX/XX/XXXX"))
-SEI_RULE, CRC_RULE = Rule("doc_sei", r"(?U)\b\d{7}\b", 0, mask_seven_digits), Rule("crc_sei", P.CRC, 0, "XXXXXXXX", (0, 0, 0))
+SEI_RULE, CRC_RULE = Rule("doc_sei", r"(?U)\b\d{7}\b", 0, mask_seven_digits, guard=""), Rule("crc_sei", P.CRC, 0, "XXXXXXXX", (0, 0, 0), guard="")
 
 
 def _boxed(texts: DataFrame, rules: Iterable[Rule], more: Iterable[Column] = ()) -> DataFrame:
@@ -128,22 +179,29 @@ def _boxed(texts: DataFrame, rules: Iterable[Rule], more: Iterable[Column] = ())
         names.append(f"rule{k}")
     phrases = {"signed": P.tolerant(SIGNED), "authentic": P.tolerant(AUTHENTIC)}
     for name, phrase in phrases.items():
-        texts = texts.withColumn(name, F.when(F.col("text").rlike(phrase), _places(F.lit(phrase))).otherwise(F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")))
+        found = _places(_spans(F.col("text"), F.lit(phrase)))
+        texts = texts.withColumn(name, F.when(F.col("text").rlike(phrase), found).otherwise(F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")))
     height = F.col("height") if "height" in texts.columns else F.lit(None).cast("double")
     top = lambda c: F.array_min(F.transform(c, lambda b: b["y0"]))
-    texts = texts.withColumn("sei_cut", F.coalesce(top("signed"), height * 0.85)).withColumn("crc_cut", top("authentic"))
+    cuts = F.struct(F.coalesce(top("signed"), height * 0.85).alias("sei"), top("authentic").alias("crc"))
+    folded = P.folded(F.col("text"))
+    # Where a gate has no place on the page, nothing passes it.
+    open_ = lambda w, cut: F.coalesce(F.when(w["tipo"] == SEI_RULE.tipo, cut["sei"].isNotNull()).when(w["tipo"] == CRC_RULE.tipo, cut["crc"].isNotNull()).otherwise(True), F.lit(True))
     wanted = F.concat(F.array().cast(_WANTED), *(F.col(n) for n in names), *more)
 
-    def of(w: Column) -> Column:
-        gate = lambda b: F.coalesce(F.when(w["tipo"] == SEI_RULE.tipo, b["y0"] > F.col("sei_cut")).when(w["tipo"] == CRC_RULE.tipo, b["y0"] >= F.col("crc_cut")).otherwise(True), F.lit(False))
-        return F.transform(F.filter(_places(P.tolerant_col(w["term"])), gate), lambda b: F.struct(*(b[c].alias(c) for c in ("x0", "y0", "x1", "y1")), w["tipo"].alias("tipo"), w["rotulo"].alias("rotulo"), w["fill"].alias("fill"), w["term"].alias("term")))
+    def of(w: Column, cut: Column) -> Column:
+        gate = lambda b: F.coalesce(F.when(w["tipo"] == SEI_RULE.tipo, b["y0"] > cut["sei"]).when(w["tipo"] == CRC_RULE.tipo, b["y0"] >= cut["crc"]).otherwise(True), F.lit(False))
+        return F.transform(F.filter(_places(_term_spans(w["term"])), gate), lambda b: F.struct(*(b[c].alias(c) for c in ("x0", "y0", "x1", "y1")), w["tipo"].alias("tipo"), w["rotulo"].alias("rotulo"), w["fill"].alias("fill"), w["term"].alias("term")))
 
-    return texts.withColumn("wanted", wanted).drop(*names).withColumn("boxes", F.array_distinct(F.flatten(F.transform("wanted", of))))
+    texts = texts.withColumn("wanted", wanted).drop(*names).withColumn("folded", folded).withColumn("squeezed", F.regexp_replace("folded", P.SQUEEZED, ""))
+    boxes = _once(cuts, lambda cut: F.flatten(F.transform(F.filter("wanted", lambda w: open_(w, cut)), lambda w: of(w, cut))))
+    return texts.withColumn("boxes", F.array_distinct(boxes))
 
 
-def _of(boxed: DataFrame) -> DataFrame:
-    """A row a box, each once."""
+def _of(boxed: DataFrame, more: Iterable[Column] = ()) -> DataFrame:
+    """A row a box, each once, and a row for each of `more` (arrays of boxes)."""
     bare = F.array_distinct(F.transform("boxes", lambda b: F.struct(*(b[c].alias(c) for c in BOX[2:]))))
+    bare = F.concat(bare, *more) if more else bare
     return boxed.select("doc_id", "page", F.explode(bare).alias("b")).select("doc_id", "page", "b.*")
 
 
@@ -151,13 +209,14 @@ def side_bars(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", (F.col("width") - 25).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"), F.lit("barra_sei").alias("tipo"), F.lit("Barra Lateral SEI").alias("rotulo"), _fill([0, 0, 0]))
 
 
-def _qr(boxed: DataFrame) -> DataFrame:
-    a = boxed.select("doc_id", "page", F.explode(F.array_distinct("authentic")).alias("a")).select("doc_id", "page", "a.*")
-    return a.select("doc_id", "page", (F.col("x0") - 60).alias("x0"), (F.col("y0") - 10).alias("y0"), F.col("x0").alias("x1"), (F.col("y1") + 40).alias("y1"), F.lit("qr_code").alias("tipo"), F.lit("QR Code SEI").alias("rotulo"), _fill([1, 1, 1]))
+def _qr() -> Column:
+    """An array of boxes: beside the authenticity phrase."""
+    own = lambda a: F.struct((a["x0"] - 60).alias("x0"), (a["y0"] - 10).alias("y0"), a["x0"].alias("x1"), (a["y1"] + 40).alias("y1"), F.lit("qr_code").alias("tipo"), F.lit("QR Code SEI").alias("rotulo"), _fill([1, 1, 1]))
+    return F.transform(F.array_distinct("authentic"), own)
 
 
 def qr_boxes(texts: DataFrame) -> DataFrame:
-    return _qr(_boxed(texts, ()))
+    return _boxed(texts, ()).select("doc_id", "page", F.explode(_qr()).alias("b")).select("doc_id", "page", "b.*")
 
 
 def with_height(texts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -166,9 +225,9 @@ def with_height(texts: DataFrame, pages: DataFrame) -> DataFrame:
     return texts.join(p, F.col("doc_id").eqNullSafe(F.col("p_doc")) & F.col("page").eqNullSafe(F.col("p_page")), "left").drop("p_doc", "p_page")
 
 
-def sei_numbers(texts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Seven-digit numbers below the signature line, or in the last 15 % of a page without one."""
-    return _of(_boxed(with_height(texts, pages), (SEI_RULE,)))
+def sei_numbers(texts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Seven-digit numbers below the signature line, or in the last 15 % of a page without one; pages if texts have no height."""
+    return _of(_boxed(texts if pages is None else with_height(texts, pages), (SEI_RULE,)))
 
 
 def crc_codes(texts: DataFrame) -> DataFrame:
@@ -181,9 +240,7 @@ def plan(pages: DataFrame, words: DataFrame, options: DocOptions = DocOptions(),
     rules = [EMAIL_RULE, PHONE_RULE] * options.email_tel + [*CPF_RULES] * options.cpf + [*RG_RULES] * options.rg + [SEI_RULE, CRC_RULE] * options.doc_sei
     custom = tuple(t for t in options.termos_customizados if P.tolerant(t))
     more = [F.array(*(F.struct(F.lit("custom").alias("tipo"), F.lit(t).alias("term"), F.lit("[REMOVIDO]").alias("rotulo"), _fill(None)) for t in custom)).cast(_WANTED)] if custom else []
-    texts = page_texts(words)
-    if options.doc_sei:
-        texts = with_height(texts, pages)
+    texts = page_texts(words, pages if options.doc_sei else None)
     if options.nomes:
         if first_names is None:
             raise ValueError("names need first_names; () takes only those that a phrase anchors")
@@ -191,9 +248,9 @@ def plan(pages: DataFrame, words: DataFrame, options: DocOptions = DocOptions(),
         texts = texts.withColumn("names", extract_names(F.col("text"), first_names))
         more.append(Rule("nome", "", 0, label).wanted(F.col("names")))
     boxed = _boxed(texts, rules, more)
-    boxes = _of(boxed)
+    boxes = _of(boxed, [_qr()] if options.qr_code else [])
     if options.qr_code:
-        boxes = boxes.unionByName(side_bars(pages).distinct()).unionByName(_qr(boxed))
+        boxes = boxes.unionByName(side_bars(pages.select("doc_id", "page", "width", "height").distinct()))
     terms = boxed.select("doc_id", F.explode(F.array_distinct(F.transform("boxes", lambda b: b["term"]))).alias("term"))
     if custom:
         terms = terms.unionByName(pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(F.lit(t) for t in custom))).alias("term")))
