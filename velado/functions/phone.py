@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .segments import after, before
+from .segments import after, before, once
 
 
 def digits(x: Column) -> Column:
@@ -22,20 +22,15 @@ def starts_with_any(x: Column, values: tuple[str, ...]) -> Column:
 
 def is_phone(hit: Column, i: Column, gaps: Column, hits: Column) -> Column:
     """hit i of a text cut into gaps and hits. A hit has nine characters at least, so three cover the 25 before it."""
-    bare = F.regexp_replace(hit, r"(?U)^\s+|\s+$", "")
-    d, n = digits(hit), F.length(digits(hit))
-    context = before(gaps, hits, i, 25, 3)
-    near = F.concat(F.right(context, F.lit(10)), hit, after(gaps, hits, i, 10, 2))
-    bad = (
-        starts_with_any(bare, P.PUBLIC_NUMBERS)
-        | starts_with_any(d, P.PUBLIC_DIGITS)
-        | context.rlike(P.MONEY_BEFORE)
-        | context.rlike(P.ACT_BEFORE)
-        | bare.rlike(P.YEARS)
-        | near.rlike(P.DATE_NEAR)
-        | near.contains("/")
-    )
-    return ~bad & n.between(8, 13) & ~((n == 8) & starts_with_any(d, ("19", "20")))
+    bare, context = F.regexp_replace(hit, r"(?U)^\s+|\s+$", ""), before(gaps, hits, i, 25, 3)
+
+    def of(c: Column) -> Column:
+        d, n = c["digits"], F.length(c["digits"])
+        bad = starts_with_any(c["bare"], P.PUBLIC_NUMBERS) | starts_with_any(d, P.PUBLIC_DIGITS) | c["context"].rlike(P.MONEY_BEFORE) | c["context"].rlike(P.ACT_BEFORE) | c["bare"].rlike(P.YEARS)
+        near = F.concat(F.right(c["context"], F.lit(10)), hit, after(gaps, hits, i, 10, 2))
+        return ~bad & ~once(near, lambda x: x.rlike(P.DATE_NEAR) | x.contains("/")) & n.between(8, 13) & ~((n == 8) & starts_with_any(d, ("19", "20")))
+
+    return once(F.struct(bare.alias("bare"), digits(hit).alias("digits"), context.alias("context")), of)
 
 
 def phone_key(hit: Column) -> Column:

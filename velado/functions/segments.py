@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often use names it: inside a lambda nothing else shares what is used twice."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 #: Stands where a text is to be cut. Java builds a pattern anew at each split, unless it is one plain character.
 CUT = "\uffff"
 
@@ -25,7 +30,7 @@ def hits(text: Column, pattern: str, group: int = 0) -> Column:
 
 def joined(gaps_: Column, pieces: Column) -> Column:
     """gap, piece, gap, piece ... gap."""
-    return F.concat(F.array_join(F.zip_with(F.slice(gaps_, 1, F.size(pieces)), pieces, lambda g, p: F.concat(g, p)), ""), F.element_at(gaps_, -1))
+    return once(F.struct(gaps_.alias("g"), pieces.alias("p")), lambda c: F.concat(F.array_join(F.zip_with(F.slice(c["g"], 1, F.size(c["p"])), c["p"], lambda g, p: F.concat(g, p)), ""), F.element_at(c["g"], -1)))
 
 
 def before(gaps_: Column, hits_: Column, i: Column, n: int, back: int) -> Column:

@@ -26,7 +26,7 @@ from ..functions.canonical import initials, mask_cpf, mask_seven_digits
 from ..functions.gazetteer import METADATA_STOPWORDS
 from ..functions.names import extract_names
 from ..functions.phone import is_phone
-from ..functions.segments import CUT, gaps, hits
+from ..functions.segments import CUT, gaps, hits, once
 from .document_mode import DocOptions, mask
 
 # The phrases that place codes on a page.
@@ -57,11 +57,6 @@ def page_texts(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return w.select("doc_id", "page", *placed, *(["height"] if more else []))
 
 
-def _once(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x), with x computed once however often use names it."""
-    return F.get(F.transform(F.array(x), use), 0)
-
-
 def _count(apart: Column) -> Column:
     return F.length(apart) - F.length(F.replace(apart, F.lit(CUT), F.lit("")))
 
@@ -77,7 +72,7 @@ def _spans(text: Column, pattern: Column) -> Column:
 
     # Gap, hit, gap ... gap; a text that has the sign itself is cut by the pattern.
     plain = F.split(F.regexp_replace(text, pattern, F.lit(f"{CUT}$0{CUT}")), CUT, -1)
-    alike = _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), lambda c: F.flatten(F.transform(c["gaps"], lambda g, i: F.when(i < F.size(c["hits"]), F.array(g, F.get(c["hits"], i))).otherwise(F.array(g)))))
+    alike = once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), lambda c: F.flatten(F.transform(c["gaps"], lambda g, i: F.when(i < F.size(c["hits"]), F.array(g, F.get(c["hits"], i))).otherwise(F.array(g)))))
     return F.aggregate(F.when(text.contains(CUT), alike).otherwise(plain), none, add)["found"]
 
 
@@ -98,10 +93,10 @@ def _term_spans(term: Column) -> Column:
             found = F.array(F.struct(at.cast("int").alias("begin"), (at + F.length(t)).cast("int").alias("end")))
             return F.when((x["at"] > 0) & (x["again"] == 0), found).otherwise(_spans(F.col("text"), P.tolerant_col(term)))
 
-        again = _once(letters, lambda s: F.position(s, F.col("squeezed"), F.position(s, F.col("squeezed")) + 1))
-        return _once(F.struct(F.position(t, F.col("folded")).alias("at"), again.alias("again")), placed)
+        again = once(letters, lambda s: F.position(s, F.col("squeezed"), F.position(s, F.col("squeezed")) + 1))
+        return once(F.struct(F.position(t, F.col("folded")).alias("at"), again.alias("again")), placed)
 
-    return F.when(term.rlike(P.PLAIN), _once(P.folded(term), of)).otherwise(_spans(F.col("text"), P.tolerant_col(term)))
+    return F.when(term.rlike(P.PLAIN), once(P.folded(term), of)).otherwise(_spans(F.col("text"), P.tolerant_col(term)))
 
 
 def _lines(begin: Column, end: Column) -> Column:
@@ -110,12 +105,12 @@ def _lines(begin: Column, end: Column) -> Column:
 
     def of(touched: Column) -> Column:
         def line(n: Column) -> Column:
-            return _once(F.filter(touched, lambda w: w["line_no"].eqNullSafe(n)), lambda own: F.struct(*(f(F.transform(own, lambda w: w[c])).alias(c) for c, f in zip(box, (F.array_min, F.array_min, F.array_max, F.array_max), strict=True))))  # noqa: B023
+            return once(F.filter(touched, lambda w: w["line_no"].eqNullSafe(n)), lambda own: F.struct(*(f(F.transform(own, lambda w: w[c])).alias(c) for c, f in zip(box, (F.array_min, F.array_min, F.array_max, F.array_max), strict=True))))  # noqa: B023
 
         several = F.transform(F.array_distinct(F.transform(touched, lambda w: w["line_no"])), line)
         return F.when(F.size(touched) == 1, F.transform(touched, lambda w: F.struct(*(w[c].alias(c) for c in box)))).otherwise(several)
 
-    return _once(_touched(begin, end), of)
+    return once(_touched(begin, end), of)
 
 
 def _touched(begin: Column, end: Column) -> Column:
@@ -125,7 +120,7 @@ def _touched(begin: Column, end: Column) -> Column:
     span's first letter, its last word as many as the text before the span's last letter.
     """
     upto = lambda n: _count(F.left(F.col("apart"), n))
-    return _once(upto(begin + 1), lambda low: F.slice("words", low + 1, upto(end - 1) - low + 1))
+    return once(upto(begin + 1), lambda low: F.slice("words", low + 1, upto(end - 1) - low + 1))
 
 
 def _places(spans: Column) -> Column:
@@ -156,7 +151,7 @@ class Rule:
         else:
             cut = lambda h: F.struct(gaps(F.col("text"), self.pattern).alias("g"), h.alias("h"))
             kept = lambda c: F.transform(c["h"], lambda x, i: F.when(self.keep(x, i, c["g"], c["h"]), x))
-            found = self.wanted(_once(cut(hits(F.col("text"), self.pattern)), kept))
+            found = self.wanted(once(cut(hits(F.col("text"), self.pattern)), kept))
         return texts.withColumn(at, F.when(F.col("text").rlike(self.guard), found).otherwise(none) if self.guard else found)
 
     def wanted(self, terms: Column) -> Column:
@@ -194,7 +189,7 @@ def _boxed(texts: DataFrame, rules: Iterable[Rule], more: Iterable[Column] = ())
         return F.transform(F.filter(_places(_term_spans(w["term"])), gate), lambda b: F.struct(*(b[c].alias(c) for c in ("x0", "y0", "x1", "y1")), w["tipo"].alias("tipo"), w["rotulo"].alias("rotulo"), w["fill"].alias("fill"), w["term"].alias("term")))
 
     texts = texts.withColumn("wanted", wanted).drop(*names).withColumn("folded", folded).withColumn("squeezed", F.regexp_replace("folded", P.SQUEEZED, ""))
-    boxes = _once(cuts, lambda cut: F.flatten(F.transform(F.filter("wanted", lambda w: open_(w, cut)), lambda w: of(w, cut))))
+    boxes = once(cuts, lambda cut: F.flatten(F.transform(F.filter("wanted", lambda w: open_(w, cut)), lambda w: of(w, cut))))
     return texts.withColumn("boxes", F.array_distinct(boxes))
 
 

@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, dealt to two tasks a core: their file has few bytes, and so few tasks, for the work done on a row."""
+    return table(spark, sf_dir, "customer").repartition(2 * spark.sparkContext.defaultParallelism, K)
+
+
 def re2(pattern: str) -> str:
     """The pattern as RE2 writes it; Unicode classes make no difference on the texts here."""
     for java, other in (("(?iUd)", "(?i)"), ("(?iU:", "(?i:"), ("(?Ud)", ""), ("(?iU)", "(?i)"), ("(?U)", "")):
@@ -147,7 +152,7 @@ for _p, _r in ((P.EMAIL, "[E-MAIL]"), (P.PHONE, "[TEL]"), (P.CPF_PARTS, r"***.\1
 
 @query(f"select {K}, {_steps} as masked from customer")
 def doc_mode_full(spark, sf_dir):
-    texts = table(spark, sf_dir, "customer").selectExpr(K, f"{_FULL} as masked")
+    texts = customers(spark, sf_dir).selectExpr(K, f"{_FULL} as masked")
     return D.mask(texts, "masked", DocOptions(termos_customizados=_TERMS))
 
 
@@ -396,7 +401,7 @@ def layout_qr(spark, sf_dir):
 
 @query(f"""select doc_id, page, 150::double as x0, 700::double as y0, 220::double as x1, 712::double as y1, 'XXXXX' || right({pad('k * 41 % 10000000', 7)}, 2) as rotulo from ({_PAGES}) where (case when k % 2 = 0 then 400 + k % 10 else 680 end) < 700""")
 def layout_sei_gate(spark, sf_dir):
-    return layout.sei_numbers(layout.page_texts(_words(spark, sf_dir)), _pages(spark, sf_dir)).select("doc_id", "page", "x0", "y0", "x1", "y1", "rotulo")
+    return layout.sei_numbers(layout.page_texts(_words(spark, sf_dir), _pages(spark, sf_dir))).select("doc_id", "page", "x0", "y0", "x1", "y1", "rotulo")
 
 
 @query(f"select doc_id, page, 350::double as x0, 700::double as y0, 430::double as x1, 712::double as y1, 'XXXXXXXX' as rotulo from ({_PAGES}) where k % 3 = 0")
