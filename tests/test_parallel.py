@@ -5,6 +5,6 @@ import pytest
 from velado.plans.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["doc_mode_full"])
+@pytest.mark.parametrize("name", ["doc_mode_full", "mask_names"])
 def test_rows_are_dealt_out(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism

@@ -246,7 +246,7 @@ _NAMED = f"{_pick(('Ana', 'JOSE', 'Carlos', 'Zoroastro'), K)} || ' ' || case whe
 
 @query(f"select {K}, replace(replace(replace(replace({_NAMED}, 'Ana Lima', 'A. L.'), 'JOSE LIMA', 'J. L.'), 'Carlos Lima', 'C. L.'), 'Ulisses Prado', 'U. P.') as masked from customer")
 def mask_names(spark, sf_dir):
-    texts = table(spark, sf_dir, "customer").selectExpr(K, f"{_NAMED} as masked")
+    texts = customers(spark, sf_dir).selectExpr(K, f"{_NAMED} as masked")
     return D.mask(texts, "masked", DocOptions(nomes=True, email_tel=False, cpf=False, rg=False, doc_sei=False), FIRST)
 
 
