@@ -26,16 +26,21 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.canonical import email_key, marker, rg_key
 from ..functions.phone import digits, is_phone, phone_key
-from ..functions.segments import gaps, hits, joined
+from ..functions.segments import gaps, hits, joined, once
 from ..plans.cut import Tables
 
 TYPES = ("email", "telefone", "cpf", "rg")
 VAULT = "scope_id string, type string, ordinal long, marker string, original string, canonical string"
 
+
+def _phone(v: Column, i: Column, g: Column, h: Column) -> Column:
+    return F.when(is_phone(v, i, g, h), phone_key(v))
+
+
 #: kind -> its marker's type, and a list of (pattern, group that holds the value, key of a value or null where it is none).
 _PASSES = {
     "email": ("EMAIL", [(P.EMAIL, 0, lambda v, i, g, h: email_key(v))]),
-    "telefone": ("TELEFONE", [(P.PHONE, 0, lambda v, i, g, h: F.when(is_phone(v, i, g, h), phone_key(v)))]),
+    "telefone": ("TELEFONE", [(P.PHONE, 0, _phone)]),
     "cpf": ("CPF", [(P.CPF, 0, lambda v, i, g, h: digits(v)), (P.CPF_BARE, 1, lambda v, i, g, h: v)]),
     "rg": ("RG", [(P.RG, 1, lambda v, i, g, h: F.when(F.length(rg_key(v)) >= 4, rg_key(v)))]),
 }
@@ -45,15 +50,21 @@ _ROUNDS = (("email",), ("telefone", "cpf", "rg"))
 
 def _values(text: Column, pattern: str, group: int, key) -> Column:
     """An array of (value, key), in order; key null where the hit is left alone."""
-    g, h, v = gaps(text, pattern), hits(text, pattern), hits(text, pattern, group)
-    return F.transform(v, lambda x, i: F.struct(x.alias("value"), key(x, i, g, h).alias("key")))
+    values = lambda v, g, h: F.transform(v, lambda x, i: F.struct(x.alias("value"), key(x, i, g, h).alias("key")))
+    if key is not _phone:
+        return values(hits(text, pattern, group), None, None)
+    return once(F.struct(gaps(text, pattern).alias("g"), hits(text, pattern).alias("h")), lambda c: values(c["h"], c["g"], c["h"]))
 
 
 def _rewritten(text: Column, pattern: str, group: int, marker_at) -> Column:
     """marker_at: a hit's position -> its marker, or null where it is left alone. The value is the end of its hit."""
-    h, v = hits(text, pattern), hits(text, pattern, group)
-    piece = F.transform(h, lambda x, i: F.coalesce(F.concat(F.left(x, F.length(x) - F.length(F.get(v, i))), marker_at(i)), x))
-    return joined(gaps(text, pattern), piece)
+    if group == 0:
+        return joined(gaps(text, pattern), F.transform(hits(text, pattern), lambda x, i: F.coalesce(marker_at(i), x)))
+
+    def of(v: Column) -> Column:
+        return F.transform(hits(text, pattern), lambda x, i: F.coalesce(F.concat(F.left(x, F.length(x) - F.length(F.get(v, i))), marker_at(i)), x))
+
+    return joined(gaps(text, pattern), once(hits(text, pattern, group), of))
 
 
 def _placeholder(values: str, marker_: str):

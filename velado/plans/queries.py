@@ -279,7 +279,7 @@ done as (select calls.scope_id, calls.seq, {"".join("replace(" for _ in kinds)}t
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr(f"cast({K} % 50 as string) as scope_id", f"{K} as seq", f"{_CALL} as text")
+    return customers(spark, sf_dir).selectExpr(f"cast({K} % 50 as string) as scope_id", f"{K} as seq", f"{_CALL} as text")
 
 
 @query(f"{_text_mode_sql(_CALLS)} select * from vault")
@@ -332,7 +332,7 @@ _NULL_SCOPES = f"select case when {K} % 3 = 0 then 'none' else cast({K} % 50 as
 @query(f"{_text_mode_sql(_NULL_SCOPES)} select nullif(scope_id, 'none') as scope_id, seq, text from done")
 def text_mode_null_scopes(spark, sf_dir):
     """A third of the calls without a scope: they are one scope, and none passes unmasked."""
-    calls = table(spark, sf_dir, "customer").selectExpr(f"case when {K} % 3 <> 0 then cast({K} % 50 as string) end as scope_id", f"{K} as seq", f"{_CALL} as text")
+    calls = customers(spark, sf_dir).selectExpr(f"case when {K} % 3 <> 0 then cast({K} % 50 as string) end as scope_id", f"{K} as seq", f"{_CALL} as text")
     return text_mode.anonymize(calls)[0]
 
 
